@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import reference_checks, text
+from . import reference_checks, retrieval, text
 
-_MODULES = (text, reference_checks)
+_MODULES = (text, retrieval, reference_checks)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
-FLAGSHIP = "p3_found"
+FLAGSHIP = "r1_bm25_topk"

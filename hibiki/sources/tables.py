@@ -12,9 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table *name* of a data folder; Parquet, a file or a folder of files."""
+    safe_unions(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def safe_unions(spark: SparkSession) -> None:
+    """Keep Spark 4.1 from taking a union of equally partitioned inputs as partitioned itself.
+
+    Adaptive execution may coalesce the inputs differently afterwards; an aggregate over the union without an
+    exchange of its own then gives a key twice.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or only where that is unset, as in tests, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
