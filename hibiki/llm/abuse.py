@@ -1,6 +1,6 @@
 """Abusive, hateful and sexual passages, by a factorization machine over hashed character terms.
 
-A text is cut into passages at closing marks and line breaks and undisguised first: width and look-alike
+A text is cut into passages at closing marks and line breaks, and these are undisguised: width and look-alike
 letters, digits that stand for letters, letters set apart.  A passage's terms are its character n-grams, hashed.
 score = w0 + sum w_i + sum_{i<j} <v_i, v_j>: the factors catch pairs, such as an insult with the mention of a group,
 that no single term gives away.  A document is as bad as its worst passage.
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ..sources.tables import spread
 
 BITS = 18
-NGRAMS = (2, 3, 4, 6)
+NGRAMS = (2, 4)
 FACTORS = 4
 _P = np.uint64(0x100000001B3)
 
@@ -37,31 +37,37 @@ _HIDDEN = re.compile("[­͏​-‏‪-‮⁠-⁯︀-️﻿]")
 _LEET_WORD = re.compile(r"(?<![^\W_])(?=[a-z]*[013457@$!8]+[a-z])[a-z@$!\d]{2,}(?![^\W_])|(?<![^\W_])[013457@$][a-z]{1,}(?![^\W_])")
 _APART = re.compile(r"(?<![^\W\d_])(?:[a-z][ .*_\-]){2,}[a-z](?![^\W\d_])")
 _APART_CJK = re.compile(r"(?<=[ぁ-ヴ一-龥가-힣ー])[ ・.*_\-　]+(?=[ぁ-ヴ一-龥가-힣ー])")
+_FORMS = re.compile("[\u0300-\u036f\u2e80-\u2fdf\u3099\u309a\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\uff9f\U0001d400-\U0001d7ff]")
 _FOREIGN = re.compile(f"[{''.join(_LIKE)}]")
 _KANA = re.compile("(?<=[ァ-ヴー])[力口工二夕卜八]|[力口工二夕卜八](?=[ァ-ヴー])")
-_LEET_MAYBE = re.compile(r"[a-z][013457@$!8]|(?<![^\W_])[013457@$][a-z]")
+_LEET_MAYBE = re.compile(r"[a-z][013457@$!8]+[a-z]|(?<![^\W_])[013457@$][a-z]")
+_LONE = re.compile(r"(?<![A-Za-z\d])\d+(?![A-Za-z\d@$!])")
 _DIGITS = re.compile(r"\d+")
 _ENDS = re.compile(r"[。.!?！？…।]+(?=[\s」』）)\"”»]|$|[^\x00-\x7f])[」』）)\"”»]*|\n+|｡|\s{2,}")
 _CODE = re.compile(r"[A-Z0-9]*\d[A-Z0-9]*(?:-[A-Z0-9]+)+|[A-Z]{2}-?\d{3,}")
 
 
-def undisguised(text: str) -> str:
-    """The text as it is meant to be read, in lower case, with passages on lines of their own."""
-    foreign = not text.isascii()
+def lines(text: str) -> list[str]:
+    """The passages of a text with codes and numbers masked, so that like passages are alike."""
+    return _LONE.sub("0", _ENDS.sub("\n", _CODE.sub("#", text))).split("\n")
+
+
+def undisguised(line: str) -> str:
+    """A passage as it is meant to be read, in lower case."""
+    foreign = not line.isascii()
     if foreign:
-        text = _HIDDEN.sub("", text)
-        if not unicodedata.is_normalized("NFKC", text):
-            text = unicodedata.normalize("NFKC", text)
-    text = _CODE.sub("#", text)
-    if _LEET_MAYBE.search(text):
-        text = _LEET_WORD.sub(lambda m: m.group().translate(_LEET), text)
-    text = _ENDS.sub("\n", text).lower()
+        line = _HIDDEN.sub("", line)
+        if _FORMS.search(line):
+            line = unicodedata.normalize("NFKC", line)
+    if _LEET_MAYBE.search(line):
+        line = _LEET_WORD.sub(lambda m: m.group().translate(_LEET), line)
+    line = line.lower()
     if foreign:
-        text = _KANA.sub(lambda m: _LIKE_KANA[m.group()], _APART_CJK.sub("", text))
-        if _FOREIGN.search(text):
-            text = _FOREIGN.sub(lambda m: _LIKE[m.group()], text)
-    text = _APART.sub(lambda m: re.sub(r"[ .*_\-]", "", m.group()), text)
-    return _DIGITS.sub("0", text)
+        line = _KANA.sub(lambda m: _LIKE_KANA[m.group()], _APART_CJK.sub("", line))
+        if _FOREIGN.search(line):
+            line = _FOREIGN.sub(lambda m: _LIKE[m.group()], line)
+    line = _APART.sub(lambda m: re.sub(r"[ .*_\-]", "", m.group()), line)
+    return _DIGITS.sub("0", line).strip().replace("\n", " ")
 
 
 def _hashes(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -163,10 +169,13 @@ def passages_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Distinct passages over all texts and, text by text, the numbers of its passages: (passages, (text, passage) pairs)."""
     index: dict[str, int] = {}
     pairs: list[tuple[int, int]] = []
+    plain: dict[str, str] = {}
     for i, t in enumerate(texts):
-        for p in {x.strip() for x in undisguised(t).split("\n")}:
-            if len(p) >= 2:
-                pairs.append((i, index.setdefault(p, len(index))))
+        for x in set(lines(t)):
+            if x not in plain:
+                plain[x] = undisguised(x)
+            if len(plain[x]) >= 2:
+                pairs.append((i, index.setdefault(plain[x], len(index))))
     return list(index), np.array(pairs, np.int64).reshape(-1, 2)
 
 
@@ -234,7 +243,7 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic:
     return rows[text].tolist(), rows["vote"].to_numpy(float)
 
 
-def abuse_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", toxic: str = "toxic", max_docs: int = 20_000, batch_chars: int = 1_000_000) -> DataFrame:
+def abuse_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", toxic: str = "toxic", max_docs: int = 20_000, remembered: int = 200_000) -> DataFrame:
     """(doc_id, source, score) of every document: the probability of its worst passage.  Null and empty texts score 0."""
     texts, votes = labelled(docs, labels, doc_id, text, toxic, max_docs)
     model = docs.sparkSession.sparkContext.broadcast(train(texts, votes))
@@ -243,22 +252,18 @@ def abuse_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine: Machine = model.value
+        known: dict[str, float] = {}  # log-odds of passages met before, at most *remembered*
         for b in batches:
-            column = b.column(2).to_pylist()
-            out = np.zeros(len(column))
-            i = 0
-            while i < len(column):
-                part, size, first = [], 0, i
-                while i < len(column) and size < batch_chars:
-                    part.append(undisguised(column[i]) if column[i] else "")
-                    size += len(part[-1]) + 1
-                    i += 1
-                lines = np.array([t.count("\n") + 1 for t in part])
-                z = machine.line_scores("\n".join(part), int(lines.sum()))
-                worst = np.maximum.reduceat(z, np.cumsum(lines) - lines)
-                out[first:i] = 1 / (1 + np.exp(-np.clip(worst, -40, 40)))
-                out[first:i][np.isneginf(worst)] = 0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=schema.names)
+            cut = [lines(t) if t else [""] for t in b.column(2).to_pylist()]
+            if len(known) > remembered:
+                known = {}
+            fresh = list({x for part in cut for x in part} - known.keys())
+            for i in range(0, len(fresh), 20_000):
+                some = fresh[i : i + 20_000]
+                known |= zip(some, machine.line_scores("\n".join(map(undisguised, some)), len(some)).tolist(), strict=True)
+            worst = np.array([max(map(known.__getitem__, part)) for part in cut])
+            score = np.where(np.isneginf(worst), 0, 1 / (1 + np.exp(-np.clip(worst, -40, 40))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
