@@ -1,0 +1,182 @@
+"""Statistics as DataFrame operators.
+
+Running sums over a whole table are two-level: range partitions first, offsets of the partitions second, so that no
+task sees more than its range.
+"""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..sources.tables import materialize
+
+
+def running_sums(df: DataFrame, order: Column, sums: dict[str, Column]) -> DataFrame:
+    """df with, per name, the sum of the column over all rows up to and including the row's ties in the order."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.withColumn("__o", order).repartitionByRange(n, "__o").withColumn("__p", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("__p").agg(F.min("__o").alias("__first"), *[F.sum(c).alias(f"__t_{k}") for k, c in sums.items()])
+    before = W.orderBy("__first").rowsBetween(W.unboundedPreceding, -1)  # one row per range partition
+    offsets = parts.select("__p", *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in sums])
+    within = W.partitionBy("__p").orderBy("__o").rangeBetween(W.unboundedPreceding, W.currentRow)
+    out = ranged.join(F.broadcast(offsets), "__p")
+    return out.select(*df.columns, *[(F.sum(c).over(within) + F.col(f"__b_{k}")).alias(k) for k, c in sums.items()])
+
+
+def latency_summary(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Per group: n, mean, p50, p95, p99 by linear interpolation, and p95 by nearest rank."""
+    p = lambda q: F.round(F.percentile(value, F.lit(q)), 6)
+    disc = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})")
+    return df.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), disc.alias("p95_nearest"))
+
+
+def poisson_bootstrap(clusters: DataFrame, key: str, value: str, weight: str, reps: int = 200, seed: str = "b") -> DataFrame:
+    """(estimate, low, high): ratio sum(value)/sum(weight) with its 95 % interval over Poisson(1) resamples of clusters.
+
+    Draws are hashes of (seed, repetition, key), the same in every run and on every machine.
+    """
+    rows = clusters.select(key, value, weight, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / float(2**32)
+    cuts, total, p = [], 0.0, math.exp(-1)
+    for i in range(6):
+        total += p
+        cuts.append(total)
+        p /= i + 1
+    draws = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    sums = rows.groupBy("rep").agg(F.sum(F.col(value) * draws).alias("v"), F.sum(F.col(weight) * draws).alias("w"))
+    ratio = sums.filter("w > 0").select((F.col("v") / F.col("w")).alias("r"))
+    interval = ratio.agg(F.round(F.percentile("r", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("r", F.lit(0.975)), 6).alias("high"))
+    whole = clusters.agg(F.round(F.sum(value) / F.sum(weight), 6).alias("estimate"))
+    return whole.select("estimate", interval.select("low").scalar().alias("low"), interval.select("high").scalar().alias("high"))
+
+
+@F.pandas_udf("double")
+def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
+    """Exact two-sided p of b against c discordant pairs."""
+
+    def one(x: int, y: int) -> float:
+        n, k = x + y, min(x, y)
+        if n == 0:
+            return 1.0
+        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1))
+        return min(1.0, 2 * tail)
+
+    return pd.Series([one(int(x), int(y)) for x, y in zip(b, c, strict=True)])
+
+
+@F.pandas_udf("double")
+def normal_two_sided(z: pd.Series) -> pd.Series:
+    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
+
+
+@F.pandas_udf("double")
+def binomial_upper(successes: pd.Series, n: pd.Series) -> pd.Series:
+    """Clopper-Pearson upper 95 % bound (one-sided) by bisection."""
+
+    def one(k: float, m: float) -> float:
+        k, m = int(k), int(m)
+        if m == 0 or k >= m:
+            return 1.0
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            p = (lo + hi) / 2
+            tail = sum(math.exp(math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) + (i * math.log(p) if i else 0.0) + (m - i) * math.log1p(-p)) for i in range(k + 1))
+            lo, hi = (p, hi) if tail > 0.05 else (lo, p)
+        return (lo + hi) / 2
+
+    return pd.Series([one(k, m) for k, m in zip(successes, n, strict=True)])
+
+
+def holm(p: DataFrame, family: str, key: str, value: str) -> DataFrame:
+    """Adjusted p-values of a family of tests: running greatest of (m - i) * p in ascending order, at most 1."""
+    w = W.partitionBy(family).orderBy(value, key)
+    m = F.count("*").over(W.partitionBy(family))
+    step = p.select(family, key, value, F.least(F.lit(1.0), (m - F.row_number().over(w) + 1) * F.col(value)).alias("x"))
+    return step.select(family, key, F.round(F.max("x").over(w.rowsBetween(W.unboundedPreceding, 0)), 6).alias("adjusted"))
+
+
+def benjamini_hochberg(p: DataFrame, family: str, key: str, value: str) -> DataFrame:
+    """Adjusted p-values: running least of m / i * p from the greatest down."""
+    w = W.partitionBy(family).orderBy(value, key)
+    m = F.count("*").over(W.partitionBy(family))
+    step = p.select(family, key, value, F.least(F.lit(1.0), F.col(value) * m / F.row_number().over(w)).alias("x"))
+    return step.select(family, key, F.round(F.min("x").over(w.rowsBetween(0, W.unboundedFollowing)), 6).alias("adjusted"))
+
+
+def psi(reference: DataFrame, current: DataFrame, value: str, bins: int = 10, eps: float = 1e-6) -> DataFrame:
+    """(psi): population stability over the reference's quantile bins; a value belongs above every edge below it."""
+    edges = reference.agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e")).first()["e"]  # bins - 1 numbers
+    if edges is None:
+        return reference.sparkSession.createDataFrame([(None,)], "psi double")
+    where = sum((F.when(F.col(value) > e, 1).otherwise(0) for e in edges), F.lit(0)).alias("bin")
+    a = reference.filter(F.col(value).isNotNull()).groupBy(where).agg(F.count("*").alias("a"))
+    b = current.filter(F.col(value).isNotNull()).groupBy(where).agg(F.count("*").alias("b"))
+    both = a.join(b, "bin", "full").select(F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    ta, tb = F.sum("a").over(W.partitionBy(F.lit(1))), F.sum("b").over(W.partitionBy(F.lit(1)))  # one row per bin
+    shares = both.select(F.greatest(F.col("a") / ta, F.lit(eps)).alias("a"), F.greatest(F.col("b") / tb, F.lit(eps)).alias("b"))
+    return shares.agg(F.round(F.sum((F.col("b") - F.col("a")) * F.log(F.col("b") / F.col("a"))), 6).alias("psi"))
+
+
+def ks(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
+    """(d, n_a, n_b): the greatest distance of two empirical distributions; nulls are left out."""
+    both = a.select(F.col(value).alias("x"), F.lit(1).alias("a")).unionByName(b.select(F.col(value).alias("x"), F.lit(0).alias("a"))).filter("x is not null")
+    counts = both.groupBy("x").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb"))
+    run = running_sums(counts, F.col("x"), {"ca": F.col("na"), "cb": F.col("nb")})
+    totals = counts.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+    ta, tb = totals.select("ta").scalar(), totals.select("tb").scalar()
+    return run.agg(F.round(F.max(F.abs(F.col("ca") / ta - F.col("cb") / tb)), 6).alias("d"), F.max("ca").alias("n_a"), F.max("cb").alias("n_b"))
+
+
+def pareto_front(df: DataFrame, key: str, more: str, less: str) -> DataFrame:
+    """Rows that no other row beats: none with at least as much of *more* and at most as much of *less*, one of them strictly."""
+    best = df.groupBy(more).agg(F.min(less).alias("__best"))
+    above = best.withColumn("__above", F.min("__best").over(W.orderBy(F.desc(more)).rowsBetween(W.unboundedPreceding, -1)))  # one row per value of *more*
+    on = above.filter(F.col("__above").isNull() | (F.col("__best") < F.col("__above")))
+    return df.join(on, (df[more] == on[more]) & (df[less] == on["__best"]), "left_semi").select(key, more, less)
+
+
+def calibration_error(df: DataFrame, score: str, hit: str, bins: int = 10) -> DataFrame:
+    """(ece): mean distance of score and hit rate over equal-width bins, weighted by their rows."""
+    b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1))
+    per = df.filter(F.col(score).isNotNull()).groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.avg(score).alias("s"), F.avg(F.col(hit).cast("double")).alias("h"))
+    return per.agg(F.round(F.sum(F.col("n") * F.abs(F.col("s") - F.col("h"))) / F.sum("n"), 6).alias("ece"))
+
+
+def risk_coverage(df: DataFrame, score: str, hit: str) -> DataFrame:
+    """(aurc): mean error rate over all coverages, the highest scores first; ties enter together."""
+    per = df.groupBy(score).agg(F.count("*").alias("n"), F.sum(1 - F.col(hit).cast("int")).alias("wrong"))
+    run = running_sums(per, -F.col(score), {"cn": F.col("n"), "cw": F.col("wrong")})
+    return run.agg(F.round(F.sum(F.col("n") * F.col("cw") / F.col("cn")) / F.sum("n"), 6).alias("aurc"))
+
+
+def conformal_threshold(df: DataFrame, score: str, alpha: float = 0.1) -> DataFrame:
+    """(threshold): the ceil((n + 1)(1 - alpha))-th smallest of the scores, null if there are too few."""
+    per = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"))
+    run = running_sums(per, F.col(score), {"cn": F.col("n")})
+    total = per.agg(F.sum("n").alias("t")).select("t").scalar()
+    return run.filter(F.col("cn") >= F.ceil((total + 1) * (1 - alpha))).agg(F.min(score).alias("threshold"))
+
+
+def isotonic(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """(group, x, fitted): pool-adjacent-violators fit per group; equal x are pooled first. A group is folded in one task, by distinct x."""
+    per = df.groupBy(group, x).agg(F.avg(F.col(y).cast("double")).alias("m"), F.count("*").alias("n"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(x)
+        blocks: list[list[float]] = []
+        for m, n in zip(pdf["m"], pdf["n"], strict=True):
+            blocks.append([m, n, 1])
+            while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+                b, a = blocks.pop(), blocks.pop()
+                blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
+        fitted = [round(b[0], 6) for b in blocks for _ in range(b[2])]
+        return pd.DataFrame({group: pdf[group], x: pdf[x], "fitted": fitted})
+
+    kind = dict(df.dtypes)
+    return per.groupBy(group).applyInPandas(fit, f"{group} {kind[group]}, {x} {kind[x]}, fitted double")
