@@ -14,7 +14,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,98 +60,96 @@ def _like() -> dict[str, str]:
 
 
 @lru_cache(maxsize=1)
-def code_points() -> list[tuple[str, str, list[int]]]:
-    """(code point, its decomposition, the combining classes of that) of all code points that are not their own form or are marks."""
+def code_points() -> list[tuple[str, str, str]]:
+    """(code point, its decomposition, the combining class of each part as a character) of all that are not their own form, are marks or conjoin."""
     out = []
     for o in range(sys.maxunicode + 1):
         if 0xD800 <= o <= 0xDFFF or 0xAC00 <= o <= 0xD7A3:  # Hangul syllables decompose by arithmetic
             continue
         c = chr(o)
         d = _decomposed(o)
-        if d != c or unicodedata.combining(c):
-            out.append((c, d, [unicodedata.combining(x) for x in d]))
+        if d != c or unicodedata.combining(c) or 0x1100 <= o <= 0x11FF:
+            out.append((c, d, "".join(_class(x) for x in d)))
     return out
 
 
-def _class(points: list[str], jamo: bool = True) -> str:
-    """A regular expression class of the given characters, as ranges."""
-    runs: list[list[int]] = []
-    for o in sorted(map(ord, points)):
-        if runs and runs[-1][1] == o - 1:
-            runs[-1][1] = o
-        else:
-            runs.append([o, o])
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "\\x{1100}-\\x{11ff}" * jamo + "]"
+def _class(c: str) -> str:
+    """The combining class as a character: . for none, J for conjoining letters."""
+    k = unicodedata.combining(c)
+    return chr(0x100 + k) if k else "J" if 0x1100 <= ord(c) <= 0x11FF else "."
 
 
 @lru_cache(maxsize=1)
-def changing_pattern() -> str:
-    return _class([c for c, _, _ in code_points()])
+def _unordered() -> str:
+    """A pattern for two neighbouring classes of which the later is the lower."""
+    classes = sorted({x for _, _, m in code_points() for x in m if x not in ".J"})
+    return "|".join(f"[{classes[i + 1]}-{classes[-1]}]{x}" for i, x in enumerate(classes[:-1]))
 
 
-@F.pandas_udf("string")
-def _recompose(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x))
+def _table(spark: SparkSession) -> DataFrame:
+    """cp, to, classes: the broadcast table, at most one row per code point of Unicode."""
+    return F.broadcast(spark.createDataFrame(code_points(), "cp string, to string, classes string"))
 
 
-def _marks() -> str:
-    return _class([c for c, _, k in code_points() if k and min(k) > 0], jamo=False)
+@F.pandas_udf("string")
+def _recompose(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-def _ordered(texts: DataFrame, table: DataFrame) -> DataFrame:
-    """Texts (k0, k1, s) with two marks side by side: the marks after each starter sorted by their class, stably."""
+def _ordered(texts: DataFrame) -> DataFrame:
+    """Texts (k0, k1, s) whose marks are out of order: the marks after each starter sorted by their class, stably."""
     points = texts.select("k0", "k1", F.posexplode(F.split("s", "")).alias("pos", "cp")).filter("cp <> ''")
-    points = points.join(table.select("cp", F.try_element_at("ccc", F.lit(1)).alias("c")).filter("c > 0"), "cp", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    points = points.join(_table(texts.sparkSession).select("cp", F.substring("classes", 1, 1).alias("c")), "cp", "left").withColumn("c", F.when(F.col("c").isNull() | F.col("c").isin(".", "J"), "").otherwise(F.col("c")))
     w = W.partitionBy("k0", "k1").orderBy("pos")
-    points = points.withColumn("starter", F.sum((F.col("c") == 0).cast("int")).over(w))
+    points = points.withColumn("starter", F.sum((F.col("c") == "").cast("int")).over(w))
     whole = F.array_sort(F.collect_list(F.struct("starter", "c", "pos", "cp")))
     return points.groupBy("k0", "k1").agg(F.array_join(F.transform(whole, lambda x: x["cp"]), "").alias("s"))
 
 
+def keyed(rows: DataFrame, text: str) -> DataFrame:
+    """rows with k0 and k1, together 128 bits that stand for the text."""
+    return rows.withColumns({"k0": F.xxhash64(text), "k1": F.xxhash64(F.lit(1), text)})
+
+
 def one_form(texts: DataFrame, text: str) -> DataFrame:
-    """(value, form) of the distinct values of column *text*; equal forms look the same.
+    """(k0, k1, form) of the distinct values of column *text*, keyed as by keyed(); equal forms look the same.
 
-    Letter case, punctuation, accents, digits and the amount of white space stay.  Null has no form; a text
-    without any code point of the table is its own form and is not exploded, which changes nothing.
+    Letter case, punctuation, accents, digits and the amount of white space stay.  Null has no form.  A text of
+    ASCII only is its own form, as no ASCII character has a row in the table, and is not exploded.
     """
     spark = texts.sparkSession
-    distinct = texts.select(F.col(text).cast("string").alias("value")).filter("value is not null").distinct()
-    distinct = materialize(distinct.withColumn("changes", F.col("value").rlike(changing_pattern())), "values")
-    plain = distinct.filter("not changes").select("value", F.col("value").alias("form"))
-    todo = distinct.filter("changes").select("value", F.xxhash64("value").alias("k0"), F.xxhash64(F.lit(1), "value").alias("k1"))
+    values = keyed(texts.select(F.col(text).cast("string").alias("value")).filter("value is not null"), "value").distinct()
+    plain = values.filter("octet_length(value) = length(value)").select("k0", "k1", F.col("value").alias("form"))
+    todo = values.filter("octet_length(value) > length(value)")
     todo = todo.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "k0", "k1")
-    table = F.broadcast(spark.createDataFrame(code_points(), "cp string, to string, ccc array<int>"))
-    points = todo.select("k0", "k1", F.posexplode(F.split("value", "")).alias("pos", "cp")).filter("cp <> ''")
-    points = points.join(table.select("cp", "to"), "cp", "left").select("k0", "k1", "pos", F.coalesce("to", "cp").alias("c"))
-    whole = F.array_sort(F.collect_list(F.struct("pos", "c")))
-    rebuilt = points.groupBy("k0", "k1").agg(F.array_join(F.transform(whole, lambda x: x["c"]), "").alias("s"))
-    rebuilt = materialize(todo.join(rebuilt, ["k0", "k1"], "left").select("value", "k0", "k1", F.coalesce("s", F.lit("")).alias("s")), "rebuilt")
-    marks = _marks()
-    two = F.col("s").rlike(marks + "{2}")
-    single = rebuilt.filter(~two & F.col("s").rlike(marks + "|[\\x{1160}-\\x{11ff}]")).select("value", _recompose("s").alias("form"))
-    none = rebuilt.filter(~two & ~F.col("s").rlike(marks + "|[\\x{1160}-\\x{11ff}]")).select("value", F.col("s").alias("form"))
-    several = rebuilt.filter(two)
-    several = several.select("value", "k0", "k1").join(_ordered(several, table), ["k0", "k1"]).select("value", _recompose("s").alias("form"))
-    return plain.unionByName(none).unionByName(single).unionByName(several)
+    points = todo.select("k0", "k1", F.posexplode(F.split("value", "")).alias("pos", "cp"))
+    points = points.join(_table(spark), "cp", "left").select("k0", "k1", "pos", F.coalesce("to", "cp").alias("c"), F.coalesce("classes", F.lit(".")).alias("m"))
+    whole = points.groupBy("k0", "k1").agg(F.array_sort(F.collect_list(F.struct("pos", "c", "m"))).alias("a"))
+    rebuilt = whole.select("k0", "k1", F.array_join(F.transform("a", lambda x: x["c"]), "").alias("s"), F.array_join(F.transform("a", lambda x: x["m"]), "").alias("m"))
+    marks = F.col("m").rlike("[^.]")
+    rebuilt = materialize(rebuilt.select("k0", "k1", "s", marks.alias("marks"), (marks & F.col("m").rlike(_unordered())).alias("unordered")), "rebuilt")
+    ordered = rebuilt.filter("not unordered").unionByName(_ordered(rebuilt.filter("unordered")).withColumns({"marks": F.lit(True), "unordered": F.lit(True)}))
+    return plain.unionByName(ordered.select("k0", "k1", F.coalesce(_recompose(F.when(F.col("marks"), F.col("s"))), "s").alias("form")))
 
 
 def alike_pairs(rows: DataFrame, group: list[str], row: str, text: str, chunk_rows: int = 100_000) -> DataFrame:
     """(group, row_a, row_b), row_a < row_b: rows of one group whose texts look the same but are not the same string.
 
-    Rows are gathered into chunks per text first, so copies of one text are never paired with each other and a text
-    that a third of all rows share is spread over chunks of bounded size; only forms with several texts are joined.
+    Texts and forms are compared by 128 bits of hash.  Rows are gathered into chunks per text first, so copies of one
+    text are never paired with each other and a text that a third of all rows share is spread over chunks of bounded
+    size; only forms with several texts are joined.
     """
-    kept = rows.select(*group, F.col(row).alias("row"), F.col(text).cast("string").alias("value")).filter("value is not null and row is not null").distinct()
-    kept = materialize(kept, "rows")
-    chunks = max(1, kept.count() // chunk_rows)
-    forms = materialize(one_form(kept, "value").select("value", F.xxhash64("form").alias("f0"), F.xxhash64(F.lit(1), "form").alias("f1"), "form"), "forms")
-    variants = kept.select(*group, "value").distinct().join(forms, "value")
+    kept = rows.select(*group, F.col(row).alias("row"), F.col(text).cast("string").alias("value")).filter("value is not null and row is not null")
+    forms = materialize(one_form(kept, "value").select("k0", "k1", F.xxhash64("form").alias("f0"), F.xxhash64(F.lit(1), "form").alias("f1")), "forms")
+    hashed = materialize(keyed(kept, "value").select(*group, "row", "k0", "k1").distinct(), "rows")
+    chunks = max(1, hashed.count() // chunk_rows)
+    variants = hashed.select(*group, "k0", "k1").distinct().join(forms, ["k0", "k1"])
     several = variants.groupBy(*group, "f0", "f1").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     variants = materialize(variants.join(several, [*group, "f0", "f1"], "left_semi"), "variants")
-    gathered = kept.groupBy(*group, "value", F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk")).agg(F.collect_list("row").alias("members"))
-    gathered = materialize(gathered.join(variants, [*group, "value"]).drop("chunk"), "chunks")
-    a = gathered.select(*group, "f0", "f1", F.col("value").alias("va"), F.col("form").alias("fa"), F.col("members").alias("ma"))
-    b = gathered.select(*group, "f0", "f1", F.col("value").alias("vb"), F.col("form").alias("fb"), F.col("members").alias("mb"))
-    pairs = a.join(b, [*group, "f0", "f1"]).filter("va < vb and fa = fb")
+    gathered = hashed.join(variants, [*group, "k0", "k1"]).groupBy(*group, "f0", "f1", "k0", "k1", F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk")).agg(F.collect_list("row").alias("members"))
+    gathered = materialize(gathered.drop("chunk"), "chunks")
+    a = gathered.select(*group, "f0", "f1", F.struct("k0", "k1").alias("ka"), F.col("members").alias("ma"))
+    b = gathered.select(*group, "f0", "f1", F.struct("k0", "k1").alias("kb"), F.col("members").alias("mb"))
+    pairs = a.join(b, [*group, "f0", "f1"]).filter("ka < kb")
     pairs = pairs.select(*group, F.explode("ma").alias("x"), "mb").select(*group, "x", F.explode("mb").alias("y"))
     return pairs.select(*group, F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b")).filter("row_a < row_b").distinct()

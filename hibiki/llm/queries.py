@@ -59,8 +59,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row with the one form of its value."""
-    rows = _looked_at(spark, sf_dir)
-    return rows.join(lookalike.one_form(rows, "value"), "value").select("src_table", "row_no", "form")
+    rows = lookalike.keyed(_looked_at(spark, sf_dir), "value")
+    return rows.join(lookalike.one_form(rows, "value"), ["k0", "k1"]).select("src_table", "row_no", "form")
 
 
 def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
