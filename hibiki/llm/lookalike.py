@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import materialize
 
@@ -91,7 +92,7 @@ def _table(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(code_points(), "cp string, to string, classes string"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _recompose(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 

@@ -2,7 +2,7 @@
 
 Documents larger than the capacity are cut into full containers and a rest.  Every other piece goes to the fill
 level that makes the sum of the squared counts of partly filled containers smallest, a new container counting as
-level 0.  Documents are spread over shards by hash; a shard keeps one array of counts per capacity.  What a shard
+level 0.  Documents are spread over shards by hash; a shard takes its pieces largest first and keeps one array of counts per capacity.  What a shard
 leaves partly filled, below *settled* of the capacity, enters a further round with the left-overs of *fan_in* other
 shards, the fullest first, until one shard is left.
 """
@@ -79,7 +79,7 @@ def pack(sizes: DataFrame, targets: list[tuple[int, int]], doc_id: str = "doc_id
     rest = items.filter("rest > 0").select("pack_id", "capacity_tokens", "doc", F.when(split, (F.col("full") + 1).cast("int")).otherwise(0).alias("part"), F.col("rest").alias("size"))
     shards = max(1, -(-rest.count() // (per_shard * len(targets))))
     rest = rest.withColumn("item", F.concat_ws("/", "doc", "part", F.expr("uuid()")))
-    rest = materialize(rest.withColumn("ord", F.xxhash64("doc", "part")).withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "doc"), F.lit(shards)).cast("int")), "pack-items")
+    rest = materialize(rest.withColumn("ord", -F.col("size")).withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "doc"), F.lit(shards)).cast("int")), "pack-items")
     packed = rest.select("pack_id", "capacity_tokens", "shard", "ord", "item", "size", F.lit(0).alias("round"))
     links: list[DataFrame] = []
     done: DataFrame | None = None
