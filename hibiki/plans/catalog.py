@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import reference_checks, retrieval, stats, text
+from . import operations, reconciling, reference_checks, retrieval, stats, text
 
-_MODULES = (text, retrieval, stats, reference_checks)
+_MODULES = (text, retrieval, stats, operations, reconciling, reference_checks)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
 FLAGSHIP = "r1_bm25_topk"
