@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
+
 EXACT = r"^[a-z0-9._:/-]*[0-9][a-z0-9._:/-]*$"
 
 
@@ -23,26 +25,133 @@ def ranked(df: DataFrame, *order: Column, by: tuple[str, ...] = ("q",), name: st
     return out if k is None else out.filter(F.col(name) <= k)
 
 
-def lanes(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(q, doc, bm25, cosine, exact) of every document that shares a term with the query.
+def lanes(docs: DataFrame, queries: DataFrame, keep: int = 20, k1: float = 1.5, b: float = 0.75, block: int = 1024, batch_docs: int = 512) -> DataFrame:
+    """(q, doc, bm25, cosine, exact): for each query the documents that are among its first *keep* in one of the lanes.
+
+    docs: doc (long), tokens.  queries: q (long), tokens; a stated query set, taken in blocks.  bm25: Okapi with
+    non-negative idf; cosine: of the term sets; exact: number of shared codes.  Query terms count once.  Null and
+    empty token lists match nothing.
 
-    docs: doc, tokens.  queries: q, tokens.  bm25: Okapi with non-negative idf; cosine: of the term sets; exact: number
-    of shared codes.  Query terms count once.  Documents and queries without tokens match nothing; of a document only
-    the terms that some query has are exploded past the join.
+    The documents are tokenized once, into a table that is read for their lengths, for the document frequencies of the
+    queries' terms and once per block for scores: a block's
+    terms, their idf and the queries that have them are broadcast, every batch of documents is scored against the whole
+    block by counting, and a task hands on only its own best rows, so the shuffle carries tasks * queries * keep rows at
+    most and not every matching pair.
     """
-    sized = docs.select("doc", F.size("tokens").alias("n"), "tokens")
-    stats = sized.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    total, mean = stats.select("docs").scalar(), stats.select("mean").scalar()
-    asked = queries.select("q", F.array_distinct("tokens").alias("t")).select("q", F.size("t").alias("qn"), F.explode("t").alias("term"))
-    postings = sized.select("doc", "n", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    postings = postings.groupBy("doc", "n", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = postings.join(df, "term").select("doc", "n", "term", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / mean))).alias("w"))
-    both = weighted.join(asked, "term")
-    exact = F.sum((F.col("term").rlike(EXACT) & (F.length("term") >= 4)).cast("long"))
-    out = both.groupBy("q", "doc", "n", "qn").agg(F.round(F.sum("w"), 6).alias("bm25"), F.count("*").alias("shared"), exact.alias("exact"))
-    return out.select("q", "doc", "bm25", F.round(F.col("shared") / F.sqrt(F.col("n").cast("double") * F.col("qn")), 6).alias("cosine"), "exact")
+    spark = docs.sparkSession
+    sized = materialize(docs.select("doc", F.size("tokens").alias("n"), "tokens"), "tokens")
+    stats = sized.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
+    sized = sized.filter("n > 0")
+    if not stats["mean"]:
+        return spark.createDataFrame([], LANES)
+    asked = queries.select("q", F.array_distinct("tokens").alias("t")).filter(F.size("t") > 0)
+    terms = asked.select(F.explode("t").alias("term")).distinct()
+    seen = sized.select(F.explode(F.array_distinct("tokens")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    seen = materialize(seen, "df")
+    blocks = max(1, -(-asked.count() // block))
+    numbered = materialize(asked.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))), "asked")
+    out = None
+    for i in range(blocks):
+        rows = numbered.filter(F.col("b") == i).select("q", "t").toPandas()
+        if rows.empty:
+            continue
+        known = numbered.filter(F.col("b") == i).select(F.explode("t").alias("term")).distinct().join(seen, "term").toPandas()
+        model = _QueryBlock(rows, dict(zip(known["term"], known["df"], strict=True)), stats["docs"], stats["mean"], k1, b)
+        part = sized.mapInPandas(_score(spark.sparkContext.broadcast(model), keep, batch_docs), LANES)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], LANES) if out is None else out
+
+
+LANES = "q long, doc long, bm25 double, cosine double, exact long"
+
+
+class _QueryBlock:
+    """Terms of a block of queries with idf and, per term, the queries that have it."""
+
+    def __init__(self, rows: pd.DataFrame, df: dict[str, int], docs: int, mean: float, k1: float, b: float):
+        import re
+
+        self.q = rows["q"].to_numpy(np.int64)
+        self.sizes = np.array([len(t) for t in rows["t"]], float)
+        self.index = {t: i for i, t in enumerate(df)}
+        counts = np.fromiter(df.values(), float, len(df))
+        self.idf = np.log(1 + (docs - counts + 0.5) / (counts + 0.5))
+        code = re.compile(EXACT)
+        self.code = np.array([len(t) >= 4 and bool(code.search(t)) for t in df], bool)
+        owners: list[list[int]] = [[] for _ in df]
+        for k, tokens in enumerate(rows["t"]):
+            for t in tokens:
+                if t in self.index:
+                    owners[self.index[t]].append(k)
+        self.start = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
+        self.owner = np.array([k for o in owners for k in o], np.int64)
+        self.mean, self.k1, self.b = mean, k1, b
+
+    def scores(self, docs: list, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """bm25, cosine and exact, each (queries, documents)."""
+        nq, nd = len(self.q), len(docs)
+        which, term, tf = [], [], []
+        for d, tokens in enumerate(docs):
+            found: dict[int, int] = {}
+            for t in tokens:
+                i = self.index.get(t)
+                if i is not None:
+                    found[i] = found.get(i, 0) + 1
+            which += [d] * len(found)
+            term += found.keys()
+            tf += found.values()
+        which, term, tf = np.array(which, np.int64), np.array(term, np.int64), np.array(tf, float)
+        weight = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * lengths[which] / self.mean)) if len(term) else np.zeros(0)
+        n = self.start[term + 1] - self.start[term] if len(term) else np.zeros(0, np.int64)
+        at = np.repeat(self.start[term] - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(term) else np.zeros(0, np.int64)
+        cell = self.owner[at] * nd + np.repeat(which, n)
+        bm25 = np.bincount(cell, np.repeat(weight, n), nq * nd).reshape(nq, nd)
+        shared = np.bincount(cell, minlength=nq * nd).reshape(nq, nd)
+        exact = np.bincount(cell, np.repeat(self.code[term].astype(float), n), nq * nd).reshape(nq, nd).astype(np.int64)
+        return np.round(bm25, 6), np.round(shared / np.sqrt(self.sizes[:, None] * lengths[None, :]), 6), exact
+
+
+def _score(shared, keep: int, batch_docs: int):
+    def best(doc: np.ndarray, bm25: np.ndarray, cosine: np.ndarray, exact: np.ndarray) -> np.ndarray:
+        """Which cells are among the first *keep* of their query in one of the lanes."""
+        wanted = np.zeros(bm25.shape, bool)
+        ids = np.broadcast_to(doc, bm25.shape)
+        for keys in ((ids, -bm25), (ids, -cosine), (ids, -bm25, -exact)):
+            order = np.lexsort(keys, axis=1)[:, :keep]
+            np.put_along_axis(wanted, order, True, 1)
+        return wanted & (cosine > 0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model: _QueryBlock = shared.value
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            q, doc, bm25, cosine, exact = (np.concatenate(x) for x in zip(*held, strict=True))
+            keep_row = np.zeros(len(q), bool)
+            for keys in ((doc, -bm25, q), (doc, -cosine, q), (doc, -bm25, -exact, q)):
+                order = np.lexsort(keys)
+                group = q[order]
+                place = np.arange(len(q)) - np.searchsorted(group, group, "left")
+                keep_row[order[place < keep]] = True
+            held[:] = [tuple(x[keep_row] for x in (q, doc, bm25, cosine, exact))]
+            return pd.DataFrame({"q": model.q[held[0][0]], "doc": held[0][1], "bm25": held[0][2], "cosine": held[0][3], "exact": held[0][4]})
+
+        for pdf in batches:
+            for lo in range(0, len(pdf), batch_docs):
+                some = pdf.iloc[lo : lo + batch_docs]
+                doc = some["doc"].to_numpy(np.int64)
+                bm25, cosine, exact = model.scores(some["tokens"].tolist(), some["n"].to_numpy(float))
+                k, d = np.nonzero(best(doc, bm25, cosine, exact))
+                held.append((k, doc[d], bm25[k, d], cosine[k, d], exact[k, d]))
+                size += len(k)
+            if size > 1_000_000:
+                flush()
+                size = len(held[0][0])
+        if held:
+            yield flush()
+
+    return run
 
 
 def keyword_lane(scored: DataFrame, k: int = 20) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import metrics as M
 from ..operators import retrieval as R
-from ..sources.tables import materialize, table
+from ..sources.tables import materialize, spread, table
 from .text import INDEX, TOKENS
 
 CHUNKS, CASES = "manufacturing_chunks", "semantic_challenge_v2_cases"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, CHUNKS).select(F.col("row_no").alias("doc"), X.heuristic_tokens(F.col("text")).alias("tokens"))
+    return spread(table(spark, d, CHUNKS).select("row_no", "text")).select(F.col("row_no").alias("doc"), X.heuristic_tokens(F.col("text")).alias("tokens"))
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
