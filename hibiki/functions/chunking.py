@@ -113,7 +113,11 @@ def _strings(f):
     return run
 
 
-joined_of = F.pandas_udf(lambda s: s.map(join_wrapped, na_action="ignore"), T.StringType(), F.PandasUDFType.SCALAR)
+@F.pandas_udf(T.StringType())
+def joined_of(s: pd.Series) -> pd.Series:
+    return s.map(join_wrapped, na_action="ignore")
+
+
 chunks_of = _strings(target_chunks)
 windows_of = _strings(sentence_windows)
 table_rows_of = _strings(table_rows)

@@ -43,7 +43,8 @@ def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
         orphan = bits(of, "ref") & ~(begun & ~gone)
         rows += [(int(p), period) for p in np.flatnonzero(np.unpackbits(orphan, bitorder="little"))]
         begun |= bits(of, "begun")  # before the next period
-    return pd.DataFrame({"target": target, "key_no": np.array([chunk * RANGE + p for p, _ in rows], np.int64), "period": [m for _, m in rows]})
+    texts = lambda x: pd.Series(x, dtype=object)
+    return pd.DataFrame({"target": texts([target] * len(rows)), "key_no": np.array([chunk * RANGE + p for p, _ in rows], np.int64), "period": texts([m for _, m in rows])})
 
 
 def _number(keys: DataFrame, buckets: int) -> DataFrame:

@@ -41,7 +41,7 @@ def st3_mcnemar(spark: SparkSession, d: str) -> DataFrame:
     """Per day: users with errors but no purchases against the reverse."""
     per = _events(spark, d).groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.max((F.col("event_type") == "error").cast("int")).alias("x"), F.max((F.col("event_type") == "purchase").cast("int")).alias("y"))
     days = per.groupBy("day").agg(F.sum(((F.col("x") == 1) & (F.col("y") == 0)).cast("long")).alias("b"), F.sum(((F.col("x") == 0) & (F.col("y") == 1)).cast("long")).alias("c"))
-    return days.select(F.col("day").cast("string").alias("day"), "b", "c", F.round(S.mcnemar_p("b", "c"), 6).alias("p"))
+    return days.select(F.col("day").cast("string").alias("day"), "b", "c", F.round(S.mcnemar_p("b", "c") + 1e-9, 6).alias("p"))
 
 
 def st5_holm(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,7 @@ SELECT (SELECT round(sum(v) / sum(w), 6) FROM c) AS estimate, round(quantile_con
     "st3_mcnemar": """WITH u AS (SELECT CAST(ts AS DATE) AS day, user_id, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS x, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS y FROM events GROUP BY 1, 2),
 d AS (SELECT day, count(*) FILTER (x = 1 AND y = 0) AS b, count(*) FILTER (x = 0 AND y = 1) AS c FROM u GROUP BY 1),
 t AS (SELECT day, b, c, unnest(range(0, least(b, c) + 1)) AS i FROM d)
-SELECT CAST(day AS VARCHAR) AS day, b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))) END, 6) AS p FROM t GROUP BY 1, 2, 3""",
+SELECT CAST(day AS VARCHAR) AS day, b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))) END + 1e-9, 6) AS p FROM t GROUP BY 1, 2, 3""",
     "st5_holm": f"WITH {_R}, x AS (SELECT event_type, user_id, p, least(1.0, (count(*) OVER (PARTITION BY event_type) - row_number() OVER w + 1) * p) AS x FROM r WINDOW w AS (PARTITION BY event_type ORDER BY p, user_id)) SELECT event_type, user_id, round(max(x) OVER (PARTITION BY event_type ORDER BY p, user_id ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM x",
     "st5_benjamini_hochberg": f"WITH {_R}, x AS (SELECT event_type, user_id, p, least(1.0, p * count(*) OVER (PARTITION BY event_type) / row_number() OVER w) AS x FROM r WINDOW w AS (PARTITION BY event_type ORDER BY p, user_id)) SELECT event_type, user_id, round(min(x) OVER (PARTITION BY event_type ORDER BY p, user_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS adjusted FROM x",
     "st8_psi": f"""WITH e AS (SELECT quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM events WHERE {_W1}),

@@ -109,5 +109,7 @@ def read_csv(spark: SparkSession, path: str, sample_bytes: int = 65_536) -> Data
     finally:
         stream.close()
     encoding, delimiter = sniff_csv(sample)
+    if encoding != "utf-8":  # Spark reads these only where legacy charsets are allowed
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     java = {"utf-8": "UTF-8", "cp932": "windows-31j", "euc_jp": "EUC-JP"}[encoding]
     return spark.read.option("header", True).option("sep", delimiter).option("encoding", java).option("multiLine", java != "UTF-8").csv(path)
