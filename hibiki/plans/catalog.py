@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import japanese, operations, reconciling, reference_checks, retrieval, stats, streams, text
+from . import japanese, operations, quality, reconciling, reference_checks, retrieval, stats, streams, text
 
-_MODULES = (text, japanese, retrieval, stats, operations, reconciling, streams, reference_checks)
+_MODULES = (text, japanese, retrieval, quality, stats, operations, reconciling, streams, reference_checks)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
 FLAGSHIP = "r1_bm25_topk"
