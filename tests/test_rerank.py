@@ -31,6 +31,6 @@ def test_unsupported_terms(spark):
 
 def test_rater_agreement(spark):
     rows = [(d, r, v) for d in range(10) for r, v in (("a", d % 2), ("b", d % 2), ("c", (d + 1) % 2))] + [(99, "a", None), (98, "a", 1)]
-    got = {r["rater"]: r for r in K.agreement(spark.createDataFrame(rows, "d int, r string, v int"), "d", "r", "v").collect()}
+    got = {r["r"]: r for r in K.agreement(spark.createDataFrame(rows, "d int, r string, v int"), "d", "r", "v").collect()}
     assert got["c"]["n"] == 10 and got["c"]["kappa"] == -1.0 and "a" not in got  # a's others disagree
     assert K.feedback_adjustments(spark.createDataFrame([("x", "good")] * 9 + [("y", "bad"), (None, "bad"), ("z", "?")], "k string, s string"), "k", "s", {"good": 0.03, "bad": -0.06}).orderBy("k").collect() == [("x", 9, 0.05), ("y", 1, -0.06), ("z", 1, 0.0)]
