@@ -98,7 +98,7 @@ def pack(sizes: DataFrame, targets: list[tuple[int, int]], doc_id: str = "doc_id
         moved = nxt.select("pack_id", F.col("item").alias("container"), F.col("container").alias("next"), F.col("fill").alias("next_fill"))
         place_of = place_of.join(moved, ["pack_id", "container"], "left").select("pack_id", "item", F.coalesce("next", "container").alias("container"), F.coalesce("next_fill", "fill").alias("fill"))
     filled = rest.join(place_of, ["pack_id", "item"]).select("pack_id", "capacity_tokens", "container", "doc", "part", "size")
-    full = whole.withColumn("container", F.concat_ws("-", F.lit("full"), "doc", "part", F.expr("uuid()")))
-    both = filled.unionByName(full.select(filled.columns))
-    member = F.struct(F.col("doc").alias("doc_id"), "part", F.col("size").alias("tokens"))
-    return both.groupBy("pack_id", "capacity_tokens", F.col("container").alias("container_id")).agg(F.sum("size").alias("fill_tokens"), F.count("*").alias("n_members"), F.array_sort(F.collect_list(member)).alias("members"))
+    member = lambda: F.struct(F.col("doc").alias("doc_id"), "part", F.col("size").alias("tokens"))
+    boxes = filled.groupBy("pack_id", "capacity_tokens", F.col("container").alias("container_id")).agg(F.sum("size").alias("fill_tokens"), F.count("*").alias("n_members"), F.array_sort(F.collect_list(member())).alias("members"))
+    full = whole.select("pack_id", "capacity_tokens", F.concat_ws("-", F.lit("full"), "doc", "part", F.monotonically_increasing_id()).alias("container_id"), F.col("size").alias("fill_tokens"), F.lit(1).cast("long").alias("n_members"), F.array(member()).alias("members"))
+    return boxes.unionByName(full)
