@@ -74,7 +74,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, tombstones: DataFrame
     Null and blank keys are no references.  A version without a time counts as older than everything; a deletion
     without a time is ignored; a reference without a time can only be missing.  Keys compare exactly as written.
     """
-    refs = refs.filter(F.col("ref_key").isNotNull() & ~F.col("ref_key").rlike(r"^(?U)\s*$")).distinct()
+    refs = refs.select("ref_table", "ref_field", "record_id", "target", "ref_key", "at").filter(F.col("ref_key").isNotNull() & ~F.col("ref_key").rlike(r"^(?U)\s*$")).distinct()
     refs = materialize(refs.withColumn("period", F.coalesce(_period(F.col("at")), F.lit("9999"))), "refs")
     versions = parents.select("target", "key", F.coalesce("at", F.lit("0001-01-01").cast("timestamp")).alias("at")).filter("key is not null").distinct()
     deletions = tombstones.select("target", "key", "at").filter("key is not null and at is not null").distinct()
