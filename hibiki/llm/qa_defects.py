@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.tables import materialize, spread
 from .sentences import _skeleton, language
@@ -253,6 +253,7 @@ def _examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 HASHES, BAND = 64, 4
 
 
+@lru_cache(maxsize=50_000)
 def _shingles(s: str) -> np.ndarray:
     s = f" {s} "
     return np.unique(np.array([hash_text(s[i : i + 3]) for i in range(max(1, len(s) - 2))], np.uint64))
@@ -279,37 +280,88 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"band": pd.Series(bands, dtype="int64"), "opening": pd.Series(keys, dtype="object")})
 
 
-@F.pandas_udf(T.DoubleType())
-def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.empty(len(a))
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        gx, gy = _shingles(x), _shingles(y)
-        both = len(np.intersect1d(gx, gy, assume_unique=True))
-        out[i] = both / (len(gx) + len(gy) - both)
-    return pd.Series(out)
+def _linked(first: list[str], second: list[str], similarity: float, width: int = 512) -> list[tuple[str, str]]:
+    """Links between two lists, or within one given twice, that connect whatever their similar pairs connect."""
+    texts = list(dict.fromkeys([*first, *second]))
+    number = {t: i for i, t in enumerate(texts)}
+    sets = [_shingles(t) for t in texts]
+    size = np.array([len(x) for x in sets])
+    grams, column = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+
+    def block(at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), len(grams)), np.float32)
+        for k, i in enumerate(at):
+            out[k, column[ends[i] - size[i] : ends[i]]] = 1
+        return out
+
+    root = np.arange(len(texts))
+    links = []
+    left, right = (np.array([number[t] for t in side]) for side in (first, second))
+    for i in range(0, len(left), width):
+        rows = left[i : i + width]
+        x = block(rows)
+        for j in range(0, len(right), width):
+            columns = right[j : j + width]
+            both = x @ block(columns).T
+            for k, m in zip(*np.nonzero(both >= similarity * (size[rows][:, None] + size[columns] - both) - 1e-6), strict=True):
+                u, v = rows[k], columns[m]
+                while root[u] != u:
+                    root[u] = u = root[root[u]]
+                while root[v] != v:
+                    root[v] = v = root[root[v]]
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    links.append((texts[rows[k]], texts[columns[m]]))
+    return links
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, least) of links (u, v): every node but the least of its component, and that least.
+
+    Alternating stars (Kiveris et al., 2014): neighbours are hooked to the least one, to the larger and to the smaller
+    side in turn, until nothing changes, whatever the length of a chain; rounds grow with its logarithm.
+    """
+
+    def least(edges: DataFrame) -> DataFrame:
+        return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+    edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = least(large)
+        edges = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+        edges = materialize(edges, "stars")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("least"))
+        before = now
 
 
-def opening_clusters(openings: DataFrame, similarity: float = 0.8, rounds: int = 12) -> DataFrame:
+def opening_clusters(openings: DataFrame, similarity: float = 0.8, chunk: int = 1000) -> DataFrame:
     """(opening, cluster) of distinct openings: the least opening of the component of verified links.
 
-    Links run from every member of a band's bucket to the bucket's least member, never between all pairs, and
-    hold only where the shingle sets really have that Jaccard similarity; components come from label propagation
-    until nothing changes (a longer chain than *rounds* raises).
+    Two openings that share a band's bucket are linked if their shingle sets really have that Jaccard similarity.
+    All pairs of a bucket are looked at, in chunks of about *chunk* openings so that no task holds a hot bucket;
+    of the links found, each pair of chunks hands on only as many as keep its members connected.
     """
-    bands = spread(openings).mapInPandas(_signatures, "band long, opening string")
-    least = bands.groupBy("band").agg(F.min("opening").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    links = bands.join(least, "band").filter("opening <> head").select("opening", "head").distinct()
-    links = materialize(links.filter(_jaccard("opening", "head") >= similarity), "links")
-    both = links.unionByName(links.select(F.col("head").alias("opening"), F.col("opening").alias("head")))
-    label = openings.select("opening", F.col("opening").alias("cluster"))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("opening").alias("head"), F.col("cluster").alias("other")), "head").groupBy("opening").agg(F.min("other").alias("other"))
-        step = label.join(near, "opening", "left").select("opening", F.least("cluster", "other").alias("cluster"), (F.col("other") < F.col("cluster")).alias("moved"))
-        step = materialize(step, "labels")
-        label = step.select("opening", "cluster")
-        if step.filter("moved").isEmpty():
-            return label
-    raise RuntimeError(f"opening_clusters: labels still move after {rounds} rounds")
+    bands = materialize(spread(openings).mapInPandas(_signatures, "band long, opening string"), "bands")
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = bands.join(sizes, "band").select("band", "opening", F.pmod(F.xxhash64("opening"), F.ceil(F.col("n") / chunk)).alias("part"))
+    parts = parts.groupBy("band", "part").agg(F.sort_array(F.collect_list("opening")).alias("members"))
+    other = parts.select("band", F.col("part").alias("part2"), F.col("members").alias("members2"))
+    pairs = parts.join(other, "band").filter("part <= part2").select("members", "members2").distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [link for x, y in zip(pdf["members"], pdf["members2"], strict=True) for link in _linked(list(x), list(y), similarity)]
+            yield pd.DataFrame(found, columns=["u", "v"], dtype="object")
+
+    links = materialize(pairs.mapInPandas(run, "u string, v string").distinct(), "links")
+    found = components(links)
+    return openings.join(found, openings["opening"] == found["node"], "left").select("opening", F.coalesce("least", "opening").alias("cluster"))
 
 
 ORDER = ["empty", "other_language", "copies_question", "refusal", "truncated"]
