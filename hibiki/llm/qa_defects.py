@@ -1,8 +1,8 @@
 """Defective prompt and response pairs: empty, truncated, refusal, copies_question, other_language.
 
-Openings of the responses, with codes and numbers masked, are clustered by verified MinHash.  A cluster whose
-template recurs under unrelated prompts and whose wording declines is a refusal template; all its members
-count.  Empty, copied, foreign and broken-off answers are told by checks of the single pair, the last helped by
+Openings of the responses, with codes and numbers masked, are clustered by verified MinHash.  A cluster that recurs
+under unrelated prompts and talks of the exchange itself in a hindering way is a refusal template; all its members
+count.  A single answer counts as well where a listed wording declines, recurring or not.  Empty, copied, foreign and broken-off answers are told by checks of the single pair, the last helped by
 how often the corpus closes a sentence with the same ending.
 
 Nulls: a null answer is `empty`; a null question leaves only the checks that need no question; rows with a
@@ -51,6 +51,16 @@ REFUSALS = {
     ],
 }
 _REFUSE = re.compile("|".join(p for ps in REFUSALS.values() for p in ps), re.I)
+# Talk of asking, answering and helping, and hindrance.  Both are common in sound answers too; they count only
+# in a cluster that recurs under unrelated prompts.
+_EXCHANGE = re.compile(
+    r"質問|問い?合わ?せ|回答|答え|応え|応じ|お手伝い|案内|コメント|判断|情報|返答|要望|依頼|话题|问题|回答|答复|解答|信息|请求|帮助|协助|评论|질문|답변|대답|도와|도움|요청|문의|คำถาม|ตอบ|ช่วย|คำขอ|सवाल|प्रश्न|उत्तर|जवाब|मदद|अनुरोध"
+    r"|(?i:\b(?:question|answer|request|help|assist|comment|inquir|enquir|discuss|guideline|topic|frage|anfrage|antwort|beantwort|helfen|weiterhelfen|auskunft|auskünfte|thema|répon|réponse|aider|demande|sujet|pregunta|respond|respuesta|contest|ayud|solicitud|tema)\w*)"
+)
+_HINDER = re.compile(
+    r"ません|できな|られな|しかね|かねま|控え|遠慮|申し訳|恐れ入|残念|不能|无法|不便|不予|拒|抱歉|遗憾|恕|没法|없|못|어렵|죄송|ไม่|ขออภัย|नहीं|क्षमा|माफ़"
+    r"|(?i:\b(?:not|cannot|\w+n['’]t|unable|declin\w*|refus\w*|keeps?|prevents?|against|outside|beyond|sorry|unfortunately|nicht|kein\w*|leider|pas|désolée?|regrett\w*|malheureusement|no|lamentablemente|lamento|siento|sorry)\b)"
+)
 _CONDITION = re.compile(r"(?:場合|とき|時|際|たら|れば|なら)[はにもの、]?|(?i:\bif\b|\bwhen\b|\bwhenever\b|\bunless\b|\bin case\b|\bonce\b)|(?:如果|若|如|倘若|假如|当)")
 _QUOTED = re.compile(r"「[^」]*」?|『[^』]*』?|“[^”]*”?|\"[^\"]*\"?|«[^»]*»?")
 _CODE = re.compile(r"[A-Za-z0-9]*\d[A-Za-z0-9]*(?:[-.:/][A-Za-z0-9]+)*|[A-Z]{2,}(?:-[A-Z0-9]+)*|[ァ-ヴー]{4,8}(?=号機)")
@@ -71,7 +81,7 @@ _OPEN_EN = re.compile(
 _OPEN_ZH = re.compile(r"(?:[的为到和与及在请将把并以先再则从对向由被让使等于至或但而且若如因当，、；：,;:（(]|然后|应当|需要|必须|可以|不能|应|需|要|其|该|此)$")
 _LIST_END = re.compile(r"(?:^|[\s；;。：:,、，])(?:\d{1,2}[.．、)）]|[①-⑳]|[-・•])\s*$")
 
-SCHEMA = "question string, answer string, opening string, kind string, cue boolean, tail string, is_open int, closers array<string>"
+SCHEMA = "question string, answer string, opening string, kind string, cue boolean, hint boolean, tail string, is_open int, closers array<string>"
 
 
 def _plain(s: str) -> str:
@@ -223,6 +233,12 @@ def declines(answer: str) -> bool:
     return False
 
 
+def hints(answer: str) -> bool:
+    """Whether a sentence of the answer, quoted words and conditions aside, talks of the exchange in a hindering way."""
+    parts = re.split(r"[。.!?！？\n；;]", _QUOTED.sub(" ", _skeleton(answer)[0]))
+    return any(_EXCHANGE.search(p) and _HINDER.search(p) and not _CONDITION.search(p) for p in parts)
+
+
 def opening(answer: str, width: int = 48) -> str:
     s = re.sub(r"\s+", " ", _skeleton(answer)[0]).strip()
     s = _CODE.sub("N", s).casefold()
@@ -233,11 +249,12 @@ def _examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for q, a in zip(pdf["question"], pdf["answer"], strict=True):
-            kind, cue, head, tail, state, closers = None, False, None, None, 0, []
+            kind, cue, hint, head, tail, state, closers = None, False, False, None, None, 0, []
             if is_empty(a):
                 kind = "empty"
             else:
                 head, cue = opening(a), declines(a)
+                hint = cue or hints(a)
                 if q is not None and is_copy(_skeleton(q)[0], _skeleton(a)[0]):
                     kind = "copies_question"
                 elif q is not None and is_foreign(_skeleton(q)[0], _skeleton(a)[0]):
@@ -245,7 +262,7 @@ def _examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 tail, state = ending(a)
                 if kind is None:
                     closers = closing_tokens(a)
-            out.append((q, a, head, kind, cue, tail, state, closers))
+            out.append((q, a, head, kind, cue, hint, tail, state, closers))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
@@ -364,23 +381,41 @@ def opening_clusters(openings: DataFrame, similarity: float = 0.8, chunk: int =
     return openings.join(found, openings["opening"] == found["node"], "left").select("opening", F.coalesce("least", "opening").alias("cluster"))
 
 
+def prompt_likeness(rows: DataFrame) -> DataFrame:
+    """(cluster, prompts, likeness) of distinct (cluster, question): the mean cosine of the trigram sets of two different prompts.
+
+    Codes are left out.  The sum over all pairs follows from the sums by trigram, so the work is linear in the prompts.
+    """
+    bare = F.regexp_replace(F.lower(F.regexp_replace("question", _CODE.pattern, " ")), r"(?U)[\W_]+", "")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("bare") - 2)), lambda i: F.substring(F.col("bare"), i, F.lit(3))))
+    rows = rows.select("cluster", bare.alias("bare")).select("cluster", grams.alias("grams"))
+    n = rows.groupBy("cluster").agg(F.count("*").alias("prompts"))
+    sums = rows.select("cluster", F.explode("grams").alias("gram"), (1 / F.sqrt(F.size("grams"))).alias("w")).groupBy("cluster", "gram").agg(F.sum("w").alias("s"))
+    squares = sums.groupBy("cluster").agg(F.sum(F.col("s") * F.col("s")).alias("squares"))
+    return n.filter("prompts > 1").join(squares, "cluster").select("cluster", "prompts", ((F.col("squares") - F.col("prompts")) / (F.col("prompts") * (F.col("prompts") - 1))).alias("likeness"))
+
+
 ORDER = ["empty", "other_language", "copies_question", "refusal", "truncated"]
 
 
-def qa_defects(pairs: DataFrame, key: str, question: str, answer: str, similarity: float = 0.8, min_closed: int = 1) -> DataFrame:
+def qa_defects(pairs: DataFrame, key: str, question: str, answer: str, similarity: float = 0.8, unrelated: float = 0.5, min_closed: int = 1) -> DataFrame:
     """(key, defect_type) of every defective pair, one type each.
 
-    Distinct (question, answer) texts are examined once.  min_closed: an ending that no rule knows counts as
+    Distinct (question, answer) texts are examined once.  unrelated: a cluster's prompts are so if two of them have
+    less than that likeness on average.  min_closed: an ending that no rule knows counts as
     broken off if its last token stands before a closing mark fewer times in all answers.
     """
     rows = pairs.select(F.col(key).cast("string").alias("key"), F.col(question).cast("string").alias("question"), F.col(answer).cast("string").alias("answer")).filter("key is not null").distinct()
     rows = materialize(spread(rows), "pairs")
     seen = materialize(rows.select("question", "answer").distinct().mapInPandas(_examine, SCHEMA), "examined")
-    heads = seen.filter("opening is not null").groupBy("opening").agg(F.count("*").alias("n"), F.countDistinct("question").alias("prompts"), F.avg(F.col("cue").cast("double")).alias("share"))
+    heads = seen.filter("opening is not null").groupBy("opening").agg(F.count("*").alias("n"), F.sum(F.col("hint").cast("long")).alias("hints"))
     heads = materialize(heads, "openings")
-    labels = opening_clusters(heads.select("opening"), similarity)
-    clusters = heads.join(labels, "opening").groupBy("cluster").agg(F.sum("prompts").alias("prompts"), (F.sum(F.col("share") * F.col("n")) / F.sum("n")).alias("share"))
-    declining = labels.join(clusters.filter("prompts >= 2 and share >= 0.5"), "cluster").select("opening", F.lit(True).alias("template"))
+    labels = materialize(opening_clusters(heads.select("opening"), similarity), "labels")
+    hinting = labels.join(heads, "opening").groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("hints").alias("hints")).filter("2 * hints >= n").select("cluster")
+    candidates = labels.join(hinting, "cluster")
+    asked = seen.filter("question is not null").join(candidates, "opening").select("cluster", "question").distinct()
+    templates = prompt_likeness(asked).filter(F.col("likeness") < unrelated)
+    declining = candidates.join(templates, "cluster").select("opening", F.lit(True).alias("template"))
     ends = seen.select(F.explode("closers").alias("tail")).groupBy("tail").agg(F.count("*").alias("closed"))
     told = seen.join(declining, "opening", "left").join(ends, "tail", "left")
     refusal = F.coalesce(F.col("template"), F.lit(False)) | F.col("cue")

@@ -29,3 +29,16 @@ def test_clusters_of_long_chains_and_whole_buckets(spark):
                 mine[x] = mine[y] = min(mine[x], mine[y])
         assert first is not second or mine == label
     assert len(qa_defects._linked(texts, texts, 0.8)) == len(texts) - len(set(label.values()))
+
+
+def test_recurrence_under_unrelated_prompts_reveals_refusals(spark):
+    no = "Diese Anfrage kann ich leider nicht beantworten."
+    asked = ["Wie lange muss man warten, bis die Pumpe kalt ist?", "Wer darf den Deckel der Presse öffnen?", "Wo liegt das Ersatzteil für das Ventil?"]
+    alike = [f"Wer beantwortet am Standort {i} eine Anfrage zur Pumpe?" for i in ("Nord", "Süd", "West")]
+    rows = [(f"r{i}", q, no) for i, q in enumerate(asked)]
+    rows += [(f"s{i}", q, "Das Büro kann die Anfrage nicht vor dem Mittag beantworten.") for i, q in enumerate(alike)]
+    rows += [("t0", asked[0], "Das Werk gibt zu solch einer Frage keine Antwort."), ("u0", asked[1], "Die Leitung."), ("u1", asked[2], "Die Leitung."), ("u2", asked[0], "Die Leitung.")]
+    rows += [(f"j{i}", q, "その種のお問い合わせには応じられませんので、ご了承ください。") for i, q in enumerate(["弁はどこにありますか？", "誰の許可で軸受を交換しますか？"])]
+    df = spark.createDataFrame(rows, "k string, q string, a string")
+    got = {r["k"]: r["defect_type"] for r in qa_defects.qa_defects(df, "k", "q", "a").collect()}
+    assert got == {"r0": "refusal", "r1": "refusal", "r2": "refusal", "j0": "refusal", "j1": "refusal"}
