@@ -3,7 +3,7 @@
 Openings of the responses, with codes and numbers masked, are clustered by verified MinHash.  A cluster that recurs
 under unrelated prompts and talks of the exchange itself in a hindering way is a refusal template; all its members
 count.  A single answer counts as well where a listed wording declines, recurring or not.  Empty, copied, foreign and broken-off answers are told by checks of the single pair, the last helped by
-how often the corpus closes a sentence with the same ending.
+the share of places at which the corpus closes a sentence after the same clause, or the same token.
 
 Nulls: a null answer is `empty`; a null question leaves only the checks that need no question; rows with a
 null pair id are dropped.  A pair id with several versions gets the type of its worst version, in the order
@@ -81,7 +81,7 @@ _OPEN_EN = re.compile(
 _OPEN_ZH = re.compile(r"(?:[的为到和与及在请将把并以先再则从对向由被让使等于至或但而且若如因当，、；：,;:（(]|然后|应当|需要|必须|可以|不能|应|需|要|其|该|此)$")
 _LIST_END = re.compile(r"(?:^|[\s；;。：:,、，])(?:\d{1,2}[.．、)）]|[①-⑳]|[-・•])\s*$")
 
-SCHEMA = "question string, answer string, opening string, kind string, cue boolean, hint boolean, tail string, is_open int, closers array<string>"
+SCHEMA = "question string, answer string, opening string, kind string, cue boolean, hint boolean, tail string, is_open int, final array<long>, places array<long>, closed array<long>"
 
 
 def _plain(s: str) -> str:
@@ -176,10 +176,38 @@ def last_token(s: str) -> str:
     return m.group().casefold() if m else s[-2:]
 
 
-def closing_tokens(answer: str) -> list[str]:
-    """The tokens before each closing mark of the answer."""
-    s = _skeleton(answer)[0]
-    return sorted({last_token(s[: m.start()]) for m in _CLOSED.finditer(s)})
+_TOKEN = re.compile(r"[A-Za-zÀ-ÿ’']+|\d+|\S")
+_CLAUSE_END = frozenset("。.!?！？．｡;；:：,，、…।")
+
+
+def places(answer: str) -> tuple[list[int], list[int], list[int]]:
+    """(at the end, anywhere, before a closing mark): hashes of the masked clause so far and of the last token.
+
+    Places at which the answer ends without a mark are only in the first list: they are what is asked about.
+    """
+    text = re.sub(r"[§]+", "§", _CODE.sub("§", _skeleton(answer)[0]).rstrip())
+    stops = {m.start() for m in _CLOSED.finditer(text)}
+    seen: set[int] = set()
+    closed: set[int] = set()
+    clause, before, final = 0, "", []
+    for m in _TOKEN.finditer(text):
+        word = m.group()
+        if word in _CLAUSE_END:
+            clause, before = 0, ""
+            continue
+        word = "0" if word.isdigit() else word.casefold()
+        clause = hash_text(word, clause + 1 & 0xFFFFFFFFFFFFFFFF)
+        token = hash_text(f"{before} {word}" if len(word) == 1 else word)
+        before = word
+        final = [clause - 2**63, token - 2**63]
+        if m.end() == len(text):
+            return final, sorted(seen), sorted(closed)
+        seen.update(final)
+        if m.end() in stops:
+            closed.update(final)
+        if text[m.end()] == "\n":
+            clause, before = 0, ""
+    return final, sorted(seen), sorted(closed)
 
 
 def ending(answer: str) -> tuple[str, int]:
@@ -249,7 +277,7 @@ def _examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for q, a in zip(pdf["question"], pdf["answer"], strict=True):
-            kind, cue, hint, head, tail, state, closers = None, False, False, None, None, 0, []
+            kind, cue, hint, head, tail, state, where = None, False, False, None, None, 0, ([], [], [])
             if is_empty(a):
                 kind = "empty"
             else:
@@ -261,8 +289,8 @@ def _examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     kind = "other_language"
                 tail, state = ending(a)
                 if kind is None:
-                    closers = closing_tokens(a)
-            out.append((q, a, head, kind, cue, hint, tail, state, closers))
+                    where = places(a)
+            out.append((q, a, head, kind, cue, hint, tail, state, *where))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
@@ -276,10 +304,10 @@ def _shingles(s: str) -> np.ndarray:
     return np.unique(np.array([hash_text(s[i : i + 3]) for i in range(max(1, len(s) - 2))], np.uint64))
 
 
-def hash_text(s: str) -> int:
+def hash_text(s: str, seed: int = 0) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(s.encode())
+    return xxhash.xxh3_64_intdigest(s.encode(), seed)
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -398,12 +426,13 @@ def prompt_likeness(rows: DataFrame) -> DataFrame:
 ORDER = ["empty", "other_language", "copies_question", "refusal", "truncated"]
 
 
-def qa_defects(pairs: DataFrame, key: str, question: str, answer: str, similarity: float = 0.8, unrelated: float = 0.5, min_closed: int = 1) -> DataFrame:
+def qa_defects(pairs: DataFrame, key: str, question: str, answer: str, similarity: float = 0.8, unrelated: float = 0.5, min_rate: float = 0.1) -> DataFrame:
     """(key, defect_type) of every defective pair, one type each.
 
     Distinct (question, answer) texts are examined once.  unrelated: a cluster's prompts are so if two of them have
-    less than that likeness on average.  min_closed: an ending that no rule knows counts as
-    broken off if its last token stands before a closing mark fewer times in all answers.
+    less than that likeness on average.  min_rate: an ending that no rule
+    knows counts as broken off if at less than that share of the places with the same clause so far the answers close a
+    sentence; the share at the same last token weighs as one place more.
     """
     rows = pairs.select(F.col(key).cast("string").alias("key"), F.col(question).cast("string").alias("question"), F.col(answer).cast("string").alias("answer")).filter("key is not null").distinct()
     rows = materialize(spread(rows), "pairs")
@@ -416,10 +445,17 @@ def qa_defects(pairs: DataFrame, key: str, question: str, answer: str, similarit
     asked = seen.filter("question is not null").join(candidates, "opening").select("cluster", "question").distinct()
     templates = prompt_likeness(asked).filter(F.col("likeness") < unrelated)
     declining = candidates.join(templates, "cluster").select("opening", F.lit(True).alias("template"))
-    ends = seen.select(F.explode("closers").alias("tail")).groupBy("tail").agg(F.count("*").alias("closed"))
-    told = seen.join(declining, "opening", "left").join(ends, "tail", "left")
+    unsure = seen.filter("kind is null and is_open = 0 and size(final) = 2")
+    wanted = materialize(unsure.select(F.explode("final").alias("place")).distinct(), "wanted")
+    found = seen.select(F.explode("places").alias("place"), "closed").join(wanted, "place", "left_semi")
+    found = found.groupBy("place").agg(F.count("*").alias("n"), F.sum(F.array_contains("closed", F.col("place")).cast("long")).alias("c"))
+    found = materialize(found, "places")
+    ends = unsure.select(F.element_at("final", 1).alias("place"), F.element_at("final", 2).alias("token")).distinct()
+    ends = ends.join(found, "place", "left").join(found.select(F.col("place").alias("token"), (F.col("c") / F.col("n")).alias("by_token")), "token", "left")
+    ends = ends.select("place", "token", ((F.coalesce("c", F.lit(0)) + F.coalesce("by_token", F.lit(0.0))) / (F.coalesce("n", F.lit(0)) + 1)).alias("rate"))
+    told = seen.withColumns({"place": F.get("final", F.lit(0)), "token": F.get("final", F.lit(1))}).join(declining, "opening", "left").join(ends, ["place", "token"], "left")
     refusal = F.coalesce(F.col("template"), F.lit(False)) | F.col("cue")
-    broken = (F.col("is_open") == 1) | ((F.col("is_open") == 0) & (F.coalesce("closed", F.lit(0)) < min_closed))
+    broken = (F.col("is_open") == 1) | ((F.col("is_open") == 0) & (F.coalesce("rate", F.lit(0.0)) < min_rate))
     kind = F.when(F.col("kind").isNotNull(), F.col("kind")).when(refusal, "refusal").when(broken, "truncated")
     told = told.select("question", "answer", kind.alias("kind")).filter("kind is not null")
     rank = F.array_position(F.array(*[F.lit(x) for x in ORDER]), F.col("kind"))

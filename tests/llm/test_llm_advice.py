@@ -42,3 +42,13 @@ def test_recurrence_under_unrelated_prompts_reveals_refusals(spark):
     df = spark.createDataFrame(rows, "k string, q string, a string")
     got = {r["k"]: r["defect_type"] for r in qa_defects.qa_defects(df, "k", "q", "a").collect()}
     assert got == {"r0": "refusal", "r1": "refusal", "r2": "refusal", "j0": "refusal", "j1": "refusal"}
+
+
+def test_broken_off_does_not_depend_on_the_size_of_the_table(spark):
+    whole = [(f"w{i}", f"Where is the spare part for AB-{i}?", f"Spare parts for AB-{i} are kept in the cold store; the quality desk hands them out.") for i in range(100, 130)]
+    whole += [(f"v{i}", f"Whom do I call about AB-{i}?", f"For AB-{i} please call the quality desk.") for i in range(100, 103)]
+    asked = [("cut", "Where is the spare part for CD-900?", "Spare parts for CD-900 are kept in the cold store; the quality desk"), ("bare", "Whom do I call about CD-901?", "For CD-901 please call the quality desk")]
+    for times in (1, 4):
+        rows = asked + [(f"{k}-{t}", q.replace("AB", f"A{'BCDE'[t]}"), a.replace("AB", f"A{'BCDE'[t]}")) for k, q, a in whole for t in range(times)]
+        got = {r["k"]: r["defect_type"] for r in qa_defects.qa_defects(spark.createDataFrame(rows, "k string, q string, a string"), "k", "q", "a").collect()}
+        assert got == {"cut": "truncated"}
