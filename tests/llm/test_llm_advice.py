@@ -2,7 +2,7 @@
 
 import itertools
 
-from hibiki.llm import qa_defects
+from hibiki.llm import abuse, qa_defects
 
 
 def test_clusters_of_long_chains_and_whole_buckets(spark):
@@ -52,3 +52,7 @@ def test_broken_off_does_not_depend_on_the_size_of_the_table(spark):
         rows = asked + [(f"{k}-{t}", q.replace("AB", f"A{'BCDE'[t]}"), a.replace("AB", f"A{'BCDE'[t]}")) for k, q, a in whole for t in range(times)]
         got = {r["k"]: r["defect_type"] for r in qa_defects.qa_defects(spark.createDataFrame(rows, "k string, q string, a string"), "k", "q", "a").collect()}
         assert got == {"cut": "truncated"}
+
+
+def test_terms_of_all_four_sizes():
+    assert len(abuse.features("abcdefgh")[0]) == 7 + 6 + 5 + 3
