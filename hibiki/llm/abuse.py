@@ -50,7 +50,6 @@ _HIDDEN = re.compile("[­͏​-‏‪-‮⁠-⁯︀-️﻿]")
 _LEET_WORD = re.compile(r"(?<![^\W_])(?=[a-z]*[013457@$!8]+[a-z])[a-z@$!\d]{2,}(?![^\W_])|(?<![^\W_])[013457@$][a-z]{1,}(?![^\W_])")
 _APART = re.compile(r"(?<![^\W\d_])(?:[a-z][ .*_\-]){2,}[a-z](?![^\W\d_])")
 _APART_CJK = re.compile(r"(?<=[ぁ-ヴ一-龥가-힣ー])[ ・.*_\-　]+(?=[ぁ-ヴ一-龥가-힣ー])")
-_FORMS = re.compile("[\u0300-\u036f\u2e80-\u2fdf\u3099\u309a\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff66-\uff9f\U0001d400-\U0001d7ff]")
 _FOREIGN = re.compile(f"[{''.join(_LIKE)}]")
 _KANA = re.compile("(?<=[ァ-ヴー])[力口工二夕卜八]|[力口工二夕卜八](?=[ァ-ヴー])")
 _LEET_MAYBE = re.compile(r"[a-z][013457@$!8]+[a-z]|(?<![^\W_])[013457@$][a-z]")
@@ -86,7 +85,7 @@ def undisguised(line: str) -> str:
     foreign = not line.isascii()
     if foreign:
         line = _HIDDEN.sub("", line)
-        if _FORMS.search(line):
+        if not unicodedata.is_normalized("NFKC", line):
             line = unicodedata.normalize("NFKC", line)
     if _LEET_MAYBE.search(line):
         line = _LEET_WORD.sub(lambda m: m.group().translate(_LEET), line)

@@ -56,3 +56,8 @@ def test_broken_off_does_not_depend_on_the_size_of_the_table(spark):
 
 def test_terms_of_all_four_sizes():
     assert len(abuse.features("abcdefgh")[0]) == 7 + 6 + 5 + 3
+
+
+def test_every_compatibility_form_is_folded():
+    for disguised, plain in (("\u1107\u1161\u1107\u1169", "바보"), ("ⓘⓓⓘⓞⓣ", "idiot"), ("ⁱdiot", "idiot"), ("tr＠sh", "trash")):
+        assert abuse.undisguised(disguised) == abuse.undisguised(plain)
