@@ -1,7 +1,8 @@
 """Text functions as Spark expressions: normal forms, keys, tokens, masks and estimates.
 
 All are null-safe (null in, null out) and stay in the JVM.  Patterns are written with explicit classes that mean
-the same in every regular expression dialect.
+the same in every regular expression dialect.  NFKC comes from the ICU library that Spark ships for its collations;
+Spark counts a call by name as not deterministic, so a normal form must be a column before it is joined on.
 """
 
 from __future__ import annotations
@@ -9,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = r"[ \t\n\r\f\x{3000}\x{a0}]+"
-KATAKANA, KANJI, HIRAGANA = r"\x{30A1}-\x{30F4}\x{30FC}", r"\x{4E00}-\x{9FA5}\x{3005}", r"\x{3041}-\x{3093}"
-QUOTED = r"[\x{300C}\x{300E}\x{201C}\x{22}]([^\x{300D}\x{300F}\x{201D}\x{22}]{1,40})[\x{300D}\x{300F}\x{201D}\x{22}]"
+WS = r"[ \t\n\r\f\x{0b}\x{85}\x{2028}\x{2029}\x{3000}\x{a0}]+"
+KATAKANA, KANJI, HIRAGANA = r"\x{30A1}-\x{30F4}\x{30FC}", r"\x{4E00}-\x{9FA5}\x{3005}\x{3006}\x{3024}", r"\x{3041}-\x{3093}"
+QUOTED = r"[\x{300C}\x{300E}\x{201C}\x{22}]([^\x{300D}\x{300F}\x{201D}\x{22}]+)[\x{300D}\x{300F}\x{201D}\x{22}]"
 CODE = r"[a-z0-9][a-z0-9._:/-]{1,}"
 CODE_TAIL = r"[._:/-]+$"
 COMPACT = rf"[^0-9a-z{HIRAGANA}{KATAKANA}{KANJI}]"
@@ -22,14 +23,30 @@ PUNCT = r"[\p{P}\p{S}\p{Z}\x{30FC} \t\n\r\f]"
 WIDE = r"[\x{1100}-\x{11FF}\x{2E80}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}]"
 
 
+# Dashes and quotation marks, and what they become; wave marks.
+DASHES_AND_QUOTES = ("‐‑‒–—―−’‘‛“”„‟", "-------" + "'" * 3 + '"' * 4)
+WAVES = ("〜～", "~~")
+
+
+def nfkc(c: Column) -> Column:
+    """Width and compatibility forms folded, marks composed; ASCII texts are passed by."""
+    called = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True))
+    return F.when(F.octet_length(c) > F.length(c), called).otherwise(c)
+
+
+def text_form(c: Column) -> Column:
+    """NFKC with dashes and quotation marks folded, white space collapsed and trimmed."""
+    return F.trim(F.regexp_replace(F.translate(nfkc(c), *DASHES_AND_QUOTES), WS, " "))
+
+
 def index_form(c: Column) -> Column:
-    """Lower case, white space collapsed and trimmed."""
-    return F.lower(F.trim(F.regexp_replace(c, WS, " ")))
+    """text_form in lower case."""
+    return F.lower(text_form(c))
 
 
 def match_form(c: Column) -> Column:
-    """index_form with dashes, quotes and wave marks folded."""
-    return F.translate(index_form(c), "‐‑‒–—―−’‘‛“”„‟〜～", "-------'''\"\"\"\"~~")
+    """index_form with wave marks folded."""
+    return F.translate(index_form(c), *WAVES)
 
 
 def evidence_key(c: Column) -> Column:

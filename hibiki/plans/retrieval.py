@@ -103,8 +103,8 @@ def r23_best_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The three sentences of each best document that hold most of the query's terms."""
     best = R.ranked(_lanes(spark, d), F.col("bm25").desc(), F.col("doc"), k=1).select("q", "doc")
     text = table(spark, d, CHUNKS).select(F.col("row_no").alias("doc"), F.posexplode(F.split("text", "[。.!?！？\n]+")).alias("pos", "s")).filter("length(s) > 0")
-    both = best.join(text, "doc").join(_queries(spark, d).select("q", F.col("tokens").alias("qt")), "q")
-    score = F.size(F.filter("qt", lambda t: F.contains(X.index_form(F.col("s")), t))).cast("long")
+    both = best.join(text, "doc").join(_queries(spark, d).select("q", F.col("tokens").alias("qt")), "q").withColumn("form", X.index_form(F.col("s")))
+    score = F.size(F.filter("qt", lambda t: F.contains(F.col("form"), t))).cast("long")
     both = both.select("q", "doc", F.col("pos").cast("long").alias("pos"), (10 * score - F.when(F.length("s") > 120, 2).otherwise(0)).alias("score"))
     return R.ranked(both.filter("score > 0"), F.col("score").desc(), F.col("pos"), k=3)
 

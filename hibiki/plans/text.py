@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources.tables import table
+from .folding import nfkc_sql
 
 DOCS, CHUNKS, CASES, ANSWERS = "documents", "semantic_challenge_v2_chunks", "semantic_challenge_v2_cases", "approved_qa_alias_fixture"
 
-INDEX = lambda c: f"lower(trim(regexp_replace({c}, '{X.WS}', ' ', 'g')))"
+_FROM, _TO = (x.replace("'", "''") for x in X.DASHES_AND_QUOTES)
+INDEX = lambda c: f"lower(trim(regexp_replace(translate({nfkc_sql(c)}, '{_FROM}', '{_TO}'), '{X.WS}', ' ', 'g')))"
 TOKENS = f"""list_distinct(list_filter(list_concat(list_concat(regexp_extract_all(s, '{X.QUOTED}', 1),
   list_filter(list_transform(regexp_extract_all(s, '{X.CODE}'), lambda t: regexp_replace(t, '{X.CODE_TAIL}', '')), lambda t: length(t) >= 2)),
   list_concat(list_concat(regexp_extract_all(s, '[{X.KATAKANA}]{{2,}}'), regexp_extract_all(s, '[{X.KANJI}]{{2,}}')),
@@ -108,7 +110,7 @@ def c9_reassemble(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (n2_index_form, n3_match_form, n6_strong_key, n8_evidence_key, n12_pii_mask, f9_garbled, t1_tokens, t1_document_frequency, t2_code_tokens, t3_bigrams, t13_token_estimate, t14_slices, t16_hash_split, t17_stable_ids, c1_doc_type, c7_fixed_windows, c9_reassemble)}
 
-_FOLD = f"translate({INDEX('question')}, '‐‑‒–—―−’‘‛“”„‟〜～', '-------''''''\"\"\"\"~~')"
+_FOLD = f"translate({INDEX('question')}, '{X.WAVES[0]}', '{X.WAVES[1]}')"
 _GARBLED = f"CASE WHEN length(text) = 0 THEN true ELSE (length(text) - length(regexp_replace(text, '{X.BAD}', '', 'g'))) > 0.02 * length(text) OR (length(text) - length(regexp_replace(text, '{X.LETTER}', '', 'g'))) < 0.1 * length(text) END"
 _WIDE = f"(length(text) - length(regexp_replace(text, '{X.WIDE}', '', 'g')))"
 _EST = f"(CAST({_WIDE} AS BIGINT) // 2 + CAST(length(text) - {_WIDE} AS BIGINT) // 4 + 1)"
