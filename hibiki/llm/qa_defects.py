@@ -1,9 +1,11 @@
 """Defective prompt and response pairs: empty, truncated, refusal, copies_question, other_language.
 
-Openings of the responses, with codes and numbers masked, are clustered by verified MinHash.  A cluster that recurs
-under unrelated prompts and talks of the exchange itself in a hindering way is a refusal template; all its members
-count.  A single answer counts as well where a listed wording declines, recurring or not.  Empty, copied, foreign and broken-off answers are told by checks of the single pair, the last helped by
-the share of places at which the corpus closes a sentence after the same clause, or the same token.
+Openings of the responses (their first *width* characters, codes and numbers masked) are clustered by verified MinHash.
+A cluster that recurs under unrelated prompts is a template; sound answers have templates too, so a template is named a
+refusal if half its answers talk of the exchange itself in a hindering way.  Wording alone makes no refusal: an answer
+whose opening does not recur is none, however it is worded.  Empty, copied, foreign and broken-off answers are told by
+checks of the single pair, the last helped by the share of places at which the corpus closes a sentence after the same
+clause, or the same token.
 
 Nulls: a null answer is `empty`; a null question leaves only the checks that need no question; rows with a
 null pair id are dropped.  A pair id with several versions gets the type of its worst version, in the order
@@ -28,7 +30,7 @@ from .sentences import _skeleton, language
 PLACEHOLDERS = "n/a na nil none null nan tbd tba todo wip xxx ??? unknown pending placeholder undefined empty blank (blank) 未記入 未定 未入力 未回答 未設定 記入なし 回答なし 空欄 準備中 作成中 確認中 調査中 後日記入 待补充 暂无 无 待定 未填写 空 미정 없음 keine offen à compléter pendiente"
 _EMPTY_WORDS = {re.sub(r"[\W_]+", "", w.lower()) for w in PLACEHOLDERS.split()} - {""}
 
-# Wordings that decline to answer, by language.
+# Wordings that decline to answer, by language; like the two lists below they only name a template.
 REFUSALS = {
     "ja": [
         r"(?:お?答え|回答|お応え|お手伝い|ご?案内|提供|コメント|判断|ご?説明|返答|助言|対応)[^。「」]{0,14}(?:できません|できない(?:んです|のです|状況|です)|でき兼ね|出来ません|いたしかね|致しかね|しかね|控え|差し控え|ご遠慮|遠慮)",
@@ -51,14 +53,14 @@ REFUSALS = {
     ],
 }
 _REFUSE = re.compile("|".join(p for ps in REFUSALS.values() for p in ps), re.I)
-# Talk of asking, answering and helping, and hindrance.  Both are common in sound answers too; they count only
-# in a cluster that recurs under unrelated prompts.
+# Talk of asking, answering, helping and of one's part in it, and hindrance.  Both are common in sound answers
+# too; they count only in a cluster that recurs under unrelated prompts.
 _EXCHANGE = re.compile(
-    r"質問|問い?合わ?せ|回答|答え|応え|応じ|お手伝い|案内|コメント|判断|情報|返答|要望|依頼|话题|问题|回答|答复|解答|信息|请求|帮助|协助|评论|질문|답변|대답|도와|도움|요청|문의|คำถาม|ตอบ|ช่วย|คำขอ|सवाल|प्रश्न|उत्तर|जवाब|मदद|अनुरोध"
-    r"|(?i:\b(?:question|answer|request|help|assist|comment|inquir|enquir|discuss|guideline|topic|frage|anfrage|antwort|beantwort|helfen|weiterhelfen|auskunft|auskünfte|thema|répon|réponse|aider|demande|sujet|pregunta|respond|respuesta|contest|ayud|solicitud|tema)\w*)"
+    r"質問|問い?合わ?せ|回答|答え|応え|応じ|お手伝い|案内|コメント|判断|情報|返答|要望|依頼|助言|アドバイス|相談|お話し|話せ|役目|役割|立場|規約|方針|话题|问题|回答|答复|解答|信息|请求|帮助|协助|评论|建议|讨论|透露|职责|权限|规定|질문|답변|대답|도와|도움|요청|문의|조언|역할|คำถาม|ตอบ|ช่วย|คำขอ|คำแนะนำ|หน้าที่|सवाल|प्रश्न|उत्तर|जवाब|मदद|अनुरोध|सलाह|भूमिका"
+    r"|(?i:\b(?:question|answer|request|help|assist|comment|inquir|enquir|discuss|guideline|polic|advise|advice|topic|subject|matter|my role|talk|frage|anfrage|antwort|beantwort|helfen|weiterhelfen|auskunft|auskünfte|thema|rat|aufgabe|richtlinie|répon|réponse|aider|demande|sujet|conseil|rôle|consigne|pregunta|respond|respuesta|contest|ayud|solicitud|tema|consej|papel|norma)\w*)"
 )
 _HINDER = re.compile(
-    r"ません|できな|られな|しかね|かねま|控え|遠慮|申し訳|恐れ入|残念|不能|无法|不便|不予|拒|抱歉|遗憾|恕|没法|없|못|어렵|죄송|ไม่|ขออภัย|नहीं|क्षमा|माफ़"
+    r"ません|の外|範囲外|対象外|できな|られな|しかね|かねま|控え|遠慮|申し訳|恐れ入|残念|不能|无法|不便|不予|拒|抱歉|遗憾|恕|没法|없|못|어렵|죄송|ไม่|ขออภัย|नहीं|क्षमा|माफ़"
     r"|(?i:\b(?:not|cannot|\w+n['’]t|unable|declin\w*|refus\w*|keeps?|prevents?|against|outside|beyond|sorry|unfortunately|nicht|kein\w*|leider|pas|désolée?|regrett\w*|malheureusement|no|lamentablemente|lamento|siento|sorry)\b)"
 )
 _CONDITION = re.compile(r"(?:場合|とき|時|際|たら|れば|なら)[はにもの、]?|(?i:\bif\b|\bwhen\b|\bwhenever\b|\bunless\b|\bin case\b|\bonce\b)|(?:如果|若|如|倘若|假如|当)")
@@ -81,7 +83,7 @@ _OPEN_EN = re.compile(
 _OPEN_ZH = re.compile(r"(?:[的为到和与及在请将把并以先再则从对向由被让使等于至或但而且若如因当，、；：,;:（(]|然后|应当|需要|必须|可以|不能|应|需|要|其|该|此)$")
 _LIST_END = re.compile(r"(?:^|[\s；;。：:,、，])(?:\d{1,2}[.．、)）]|[①-⑳]|[-・•])\s*$")
 
-SCHEMA = "question string, answer string, opening string, kind string, cue boolean, hint boolean, tail string, is_open int, final array<long>, places array<long>, closed array<long>"
+SCHEMA = "question string, answer string, opening string, kind string, hint boolean, tail string, is_open int, final array<long>, places array<long>, closed array<long>"
 
 
 def _plain(s: str) -> str:
@@ -103,8 +105,10 @@ def is_copy(question: str, answer: str) -> bool:
     """Whether the answer gives back the question and, but for a wrapping phrase, nothing else."""
     q = _plain(question)
     a = _plain(_WRAP.sub(" ", answer))
-    if len(q) < 6 or not a:
+    if not q or not a:
         return False
+    if len(q) < 6:  # too short for shared windows: nothing but the question
+        return a == q or a == q * 2
     gq, ga = _grams(q), _grams(a)
     if len(gq & ga) < 0.7 * len(gq):
         return False
@@ -268,6 +272,7 @@ def hints(answer: str) -> bool:
 
 
 def opening(answer: str, width: int = 48) -> str:
+    """The first *width* characters of an answer with codes and numbers masked; whole answers enter every other check."""
     s = re.sub(r"\s+", " ", _skeleton(answer)[0]).strip()
     s = _CODE.sub("N", s).casefold()
     return re.sub(r"\d+", "0", s)[:width]
@@ -277,12 +282,11 @@ def _examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for q, a in zip(pdf["question"], pdf["answer"], strict=True):
-            kind, cue, hint, head, tail, state, where = None, False, False, None, None, 0, ([], [], [])
+            kind, hint, head, tail, state, where = None, False, None, None, 0, ([], [], [])
             if is_empty(a):
                 kind = "empty"
             else:
-                head, cue = opening(a), declines(a)
-                hint = cue or hints(a)
+                head, hint = opening(a), declines(a) or hints(a)
                 if q is not None and is_copy(_skeleton(q)[0], _skeleton(a)[0]):
                     kind = "copies_question"
                 elif q is not None and is_foreign(_skeleton(q)[0], _skeleton(a)[0]):
@@ -290,7 +294,7 @@ def _examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 tail, state = ending(a)
                 if kind is None:
                     where = places(a)
-            out.append((q, a, head, kind, cue, hint, tail, state, *where))
+            out.append((q, a, head, kind, hint, tail, state, *where))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
@@ -454,7 +458,7 @@ def qa_defects(pairs: DataFrame, key: str, question: str, answer: str, similarit
     ends = ends.join(found, "place", "left").join(found.select(F.col("place").alias("token"), (F.col("c") / F.col("n")).alias("by_token")), "token", "left")
     ends = ends.select("place", "token", ((F.coalesce("c", F.lit(0)) + F.coalesce("by_token", F.lit(0.0))) / (F.coalesce("n", F.lit(0)) + 1)).alias("rate"))
     told = seen.withColumns({"place": F.get("final", F.lit(0)), "token": F.get("final", F.lit(1))}).join(declining, "opening", "left").join(ends, ["place", "token"], "left")
-    refusal = F.coalesce(F.col("template"), F.lit(False)) | F.col("cue")
+    refusal = F.coalesce(F.col("template"), F.lit(False))
     broken = (F.col("is_open") == 1) | ((F.col("is_open") == 0) & (F.coalesce("rate", F.lit(0.0)) < min_rate))
     kind = F.when(F.col("kind").isNotNull(), F.col("kind")).when(refusal, "refusal").when(broken, "truncated")
     told = told.select("question", "answer", kind.alias("kind")).filter("kind is not null")
