@@ -3,7 +3,9 @@
 A text is cut into passages at closing marks and line breaks, and these are undisguised: width and look-alike
 letters, digits that stand for letters, letters set apart.  A passage's terms are its character n-grams, hashed.
 score = w0 + sum w_i + sum_{i<j} <v_i, v_j>: the factors catch pairs, such as an insult with the mention of a group,
-that no single term gives away.  A document is as bad as its worst passage.
+that no single term gives away.  A document is as bad as its worst passage, or two neighbouring passages together: the
+sums that make up a score add up over passages, so the pairs between neighbours cost next to nothing.
+No list of words is used; what is abusive is learned from the labels alone.
 
 Labels are of documents, passages have none: training alternates between choosing the passage that best explains
 each labelled document and fitting the machine; documents whose raters seem wrong are set aside on the way.  The fit
@@ -15,7 +17,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +29,8 @@ from ..sources.tables import spread
 BITS = 18
 NGRAMS = (2, 3, 4, 6)
 FACTORS = 4
-# Parameters: the weight that a class of harsh words starts from, and its head start when passages are picked.
-PRIOR = 0.5
-BONUS = 1.5
 _P = np.uint64(0x100000001B3)
 
-# Stems of harsh words by class, in the languages of the corpus.  They decide nothing: a class that occurs
-# is one more term of the passage, whose weight and company the machine learns, technical senses included.
-HARSH = {
-    "insult": "idiot moron imbecil imbécil scum bastard bitch asshole retard lowlife worthless brainless filthy disgusting trash stupid dumb trottel arschloch abschaum nutzlos connard abruti ordure basura inútil ばか バカ 馬鹿 あほ アホ 阿呆 間抜け まぬけ クズ くず カス ゴミ 役立たず 能無し 無能 てめえ 貴様 ふざけんな クソ くさった 吐き気 脳みそ 辞めちまえ 废物 白痴 蠢货 笨蛋 垃圾 混蛋 滚 바보 멍청 쓰레기 꺼져 โง่ ขยะ ไอ้ मूर्ख बेवकूफ कमीने",
-    "threat": "kill_you cut_you smash break_your beat_you bleed strangle burn_you stab hurt_you bring_dich brech schlag_ich te_voy_a matar romper tuer casser 死ね しね 消えろ 殺す 殺して ぶっ殺 ぶん殴 殴 血祭り 絞め 刺し 痛い目 骨を折 打断 弄死 打死 杀了你 죽여 죽어 때려 ฆ่า मार_डाल",
-    "sexual": "naked nude tits boobs breast horny undress sexy sleep_with nackt zieh_dich_aus titten desnuda tetas nue seins coucher 裸を 裸に おっぱい 胸を触 抱かせ 一晩 脱げ 下着 裸体 脱光 摸你 裸照 陪我 알몸 가슴 벗 เปลือย नंगी",
-    "group": "vermin subhuman parasite cockroach rats ratas ratten ungeziefer vermine thieves deport exterminat 寄生虫 害虫 けだもの 劣等 泥棒 追い出 雇うな 生まれつき 赶走 畜生 해충 쫓아내 벌레 ปลิง कीड़े",
-}
-
 # Look-alike letters and what they stand for.
 _LIKE = dict(zip("авекмнорстухіѕјαβεικνορτυχ", "abekmhopctyxisjabeiknoptyx", strict=True))
 _LIKE_KANA = dict(zip("力口工二夕卜八", "カロエニタトハ", strict=True))
@@ -64,22 +53,6 @@ def lines(text: str) -> list[str]:
     return _LONE.sub("0", _ENDS.sub("\n", _CODE.sub("#", text))).split("\n")
 
 
-@lru_cache(maxsize=1)
-def _harsh():
-    """Finds the classes of harsh words in a line: an Aho-Corasick automaton, or a pattern where that library is missing."""
-    words = {w.replace("_", " "): chr(0xE000 + i) for i, ws in enumerate(HARSH.values()) for w in ws.split()}
-    try:
-        import ahocorasick
-    except ImportError:
-        pattern = re.compile("|".join(map(re.escape, sorted(words, key=len, reverse=True))))
-        return lambda s: {words[w] for w in pattern.findall(s)}
-    found = ahocorasick.Automaton()
-    for w, mark in words.items():
-        found.add_word(w, mark)
-    found.make_automaton()
-    return lambda s: {mark for _, mark in found.iter(s)}
-
-
 def undisguised(line: str) -> str:
     """A passage as it is meant to be read, in lower case."""
     foreign = not line.isascii()
@@ -95,9 +68,7 @@ def undisguised(line: str) -> str:
         if _FOREIGN.search(line):
             line = _FOREIGN.sub(lambda m: _LIKE[m.group()], line)
     line = _APART.sub(lambda m: re.sub(r"[ .*_\-]", "", m.group()), line)
-    line = _DIGITS.sub("0", line).strip().replace("\n", " ")
-    marks = sorted(_harsh()(line))
-    return line + "".join(m * 12 for m in marks) + ("".join(marks) if len(marks) > 1 else "") if marks else line
+    return _DIGITS.sub("0", line).strip().replace("\n", " ")
 
 
 def _hashes(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -136,8 +107,6 @@ class Machine:
         self.w0 = -2.0
         self.w = np.zeros(1 << BITS, np.float32)
         self.v = rng.normal(0, 0.02, (1 << BITS, FACTORS)).astype(np.float32)
-        for i in range(len(HARSH)):  # what little labels leave open is leaned on the classes of harsh words
-            self.w[features(chr(0xE000 + i) * 12)[0]] = PRIOR
 
     def scores(self, terms: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
         """Log-odds of passages 0..n-1."""
@@ -149,20 +118,31 @@ class Machine:
             total += 0.5 * (np.bincount(owner, v, n) ** 2 - np.bincount(owner, v * v, n)) * x * x
         return total + self.w0
 
-    def line_scores(self, text: str, n: int) -> np.ndarray:
-        """Log-odds of the n lines of undisguised text, -inf for lines without a term; the same sums, without sorting."""
-        table = self.__dict__.setdefault("_table", np.concatenate([self.w[:, None], self.v, (self.v**2).sum(1, keepdims=True)], 1))
-        sums, size = np.zeros((n, FACTORS + 2)), np.zeros(n, np.int64)
+    def line_sums(self, text: str, n: int) -> np.ndarray:
+        """Of each of the n lines of undisguised text what its score is made of: sums of weights, of factors and of their
+        squares, and the number of terms.  The sums of neighbouring lines add up to those of both together."""
+        table = getattr(self, "_table", None)
+        if table is None:
+            table = self._table = np.concatenate([self.w[:, None], self.v, (self.v**2).sum(1, keepdims=True)], 1)
+        sums = np.zeros((n, FACTORS + 3))
         for terms, line in _hashes(text):
             if len(terms):
                 first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
                 at = line[first]
-                sums[at] += np.add.reduceat(table[terms], first, 0)
-                size[at] += np.diff(np.append(first, len(terms)))
+                sums[at, :-1] += np.add.reduceat(table[terms], first, 0)
+                sums[at, -1] += np.diff(np.append(first, len(terms)))
+        return sums
+
+    def odds(self, sums: np.ndarray) -> np.ndarray:
+        """Log-odds from line_sums(), -inf where there is no term."""
+        size = sums[:, -1]
         x = 1 / np.sqrt(np.maximum(size, 1))
-        z = self.w0 + sums[:, 0] * x + 0.5 * ((sums[:, 1:-1] ** 2).sum(1) - sums[:, -1]) * x * x
+        z = self.w0 + sums[:, 0] * x + 0.5 * ((sums[:, 1:-2] ** 2).sum(1) - sums[:, -2]) * x * x
         return np.where(size > 0, z, -np.inf)
 
+    def line_scores(self, text: str, n: int) -> np.ndarray:
+        return self.odds(self.line_sums(text, n))
+
     def fit(self, terms: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 0, batch: int = 512, rate: float = 0.25, decay: float = 2e-4, seed: int = 5) -> None:
         """Adagrad on the weighted logistic loss; owner must be sorted.  epochs 0: as many as make 400,000 steps over passages, 3 to 12."""
         rng = np.random.default_rng(seed)
@@ -235,7 +215,6 @@ def train(texts: list[str], votes: np.ndarray, rounds: int = 2, folds: int = 2,
     seen_good = np.bincount(terms, n_good[owner], 1 << BITS)[terms] - (n_good > 0)[owner]
     odds = np.log((np.maximum(seen_bad, 0) + 0.3) / bad.sum()) - np.log((np.maximum(seen_good, 0) + 0.3) / good.sum())
     score = np.bincount(owner, np.clip(odds, -3, 3), n) / np.maximum(starts[1:] - starts[:-1], 1) * 3 - 2.0
-    score += BONUS * np.array([p[-1] >= "\ue000" and p[-1] <= "\ue0ff" for p in passages])
     fold = np.random.default_rng(seed).integers(0, folds, len(texts))
 
     def fitted(score: np.ndarray, keep: np.ndarray) -> Machine:
@@ -285,16 +264,24 @@ def abuse_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine: Machine = model.value
-        known: dict[str, float] = {}  # log-odds of passages met before, at most *remembered*
+        known: dict[str, int] = {}  # places of passages met before, at most *remembered*
+        sums = np.zeros((0, FACTORS + 3))
         for b in batches:
             cut = [lines(t) if t else [""] for t in b.column(2).to_pylist()]
             if len(known) > remembered:
-                known = {}
+                known, sums = {}, sums[:0]
             fresh = list({x for part in cut for x in part} - known.keys())
-            for i in range(0, len(fresh), 20_000):
-                some = fresh[i : i + 20_000]
-                known |= zip(some, machine.line_scores("\n".join(map(undisguised, some)), len(some)).tolist(), strict=True)
-            worst = np.array([max(map(known.__getitem__, part)) for part in cut])
+            known |= zip(fresh, range(len(known), len(known) + len(fresh)), strict=True)
+            parts = [fresh[i : i + 20_000] for i in range(0, len(fresh), 20_000)]
+            sums = np.concatenate([sums, *[machine.line_sums("\n".join(map(undisguised, some)), len(some)) for some in parts]])
+            of = np.array([known[x] for part in cut for x in part])
+            ends = np.cumsum([len(part) for part in cut])
+            odds = machine.odds(sums)[of]
+            if len(of) > 1:  # a passage with the next one of its document, unless it is the last
+                pair = machine.odds(sums[of[:-1]] + sums[of[1:]])
+                pair[ends[:-1] - 1] = -np.inf
+                odds[:-1] = np.maximum(odds[:-1], pair)
+            worst = np.maximum.reduceat(odds, ends - [len(part) for part in cut]) if len(cut) else odds
             score = np.where(np.isneginf(worst), 0, 1 / (1 + np.exp(-np.clip(worst, -40, 40))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], names=schema.names)
 
