@@ -5,7 +5,7 @@ in scripts written without marks, and at the joints of statements that follow ea
 is (break?, left, gap, right): regular expressions for what stands before the place, for the white space in
 it, and for what follows.  The rules of a language are tried in order and the first that matches decides;
 the tables of a language end in the tables common to its script.  A place inside a bracket or a quotation
-is never a candidate.
+of any length is never a candidate; rules about list lines and headings see the whole line.
 
 Null, empty and blank texts have no units.
 """
@@ -164,16 +164,18 @@ _HI: list[Rule] = [
 ] + _common_lines(_HEAD_LATIN)
 CASCADES: dict[str, list[Rule]] = {lang: _latin(lang) + _common_lines(_HEAD_LATIN) for lang in ("en", "de", "fr", "es")} | {"ja": _JA, "zh": _ZH, "th": _TH, "ko": _KO, "hi": _HI}
 
-_LOOK_BACK = 96
+_LOOK_BACK = 96  # longer than what any rule matches that does not begin at the start of its line
 _WS = r"[\s\u3000]"
 
 
 @lru_cache(maxsize=None)
-def _compiled(lang: str) -> list[tuple[bool, re.Pattern | None, re.Pattern, re.Pattern | None]]:
+def _compiled(lang: str) -> list[tuple[bool, re.Pattern | None, bool, re.Pattern, re.Pattern | None]]:
+    """(break?, left, whether left begins at the line's start, gap, right) of each rule."""
+
     def part(p: str, tail: str) -> re.Pattern | None:
         return re.compile(rf"(?:{p}){tail}") if p else None
 
-    return [(brk, part(left, r"\Z"), re.compile(rf"(?:{gap})\Z"), part(right, "")) for brk, left, gap, right in CASCADES[lang]]
+    return [(brk, part(left, r"\Z"), left.startswith(r"(?:^|\n)"), re.compile(rf"(?:{gap})\Z"), part(right, "")) for brk, left, gap, right in CASCADES[lang]]
 
 
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
@@ -229,30 +231,41 @@ def language(text: str) -> str:
     return max(("en", "de", "fr", "es"), key=lambda k: hits[k])
 
 
+_BRACKETS = re.compile(f"[{re.escape(''.join(PAIRS))}{re.escape(''.join(PAIRS.values()))}\"]|\\n\\n")
+
+
 def _inside(text: str) -> list[tuple[int, int]]:
-    """Spans (open, close) of matched brackets and quotations, outermost only; a pair that never closes within 400 characters is no span."""
-    spans: list[tuple[int, int]] = []
-    end = -1
-    for m in re.finditer(r"[「『（(〔【［\[“«〈《„\"]", text):
-        i = m.start()
-        if i <= end:
+    """Spans (open, close) of matched brackets and quotations, outermost only; none goes over a blank line.
+
+    Every kind is matched on its own in one pass, so the work is linear and a span may be of any length.
+    """
+    waiting: dict[str, list[int]] = {c: [] for c in PAIRS}
+    straight: int | None = None
+    found: list[tuple[int, int]] = []
+    for m in _BRACKETS.finditer(text):
+        i, c = m.start(), m.group()
+        if c == "\n\n":
+            for stack in waiting.values():
+                stack.clear()
+            straight = None
             continue
-        c = text[i]
         if c == '"':
-            j = text.find('"', i + 1)
-        else:
-            j, depth, closing = -1, 0, PAIRS[c]
-            for k in range(i, min(len(text), i + 400)):
-                if text[k] == c and c not in closing:
-                    depth += 1
-                elif text[k] in closing:
-                    depth -= 1
-                    if depth <= 0 and k > i:
-                        j = k
-                        break
-        if j > i and j - i < 400 and "\n\n" not in text[i:j]:
+            if straight is None:
+                straight = i
+            else:
+                found.append((straight, i))
+                straight = None
+            continue
+        for opening, closing in PAIRS.items():
+            if c in closing:
+                if waiting[opening]:
+                    found.append((waiting[opening].pop(), i))
+            elif c == opening:
+                waiting[opening].append(i)
+    spans: list[tuple[int, int]] = []
+    for i, j in sorted(found):
+        if not spans or i > spans[-1][1]:
             spans.append((i, j))
-            end = j
     return spans
 
 
@@ -316,10 +329,15 @@ def units(text: str | None) -> list[tuple[int, int]]:
             left = s[max(cuts[-1], e - _LOOK_BACK) : e]
             if cuts[-1] >= e - _LOOK_BACK:
                 left = "\n" + left
+            line: str | None = None
             gap = s[e:p]
-            right = s[p : p + 40]
-            for brk, lp, gp, rp in own:
-                if gp.match(gap) and (lp is None or lp.search(left)) and (rp is None or rp.match(right)):
+            for brk, lp, whole, gp, rp in own:
+                if not gp.match(gap) or (rp is not None and not rp.match(s, p)):
+                    continue
+                if whole and line is None:
+                    start = s.rfind("\n", cuts[-1], e)
+                    line = "\n" + s[(start + 1 if start >= 0 else cuts[-1]) : e]
+                if lp is None or lp.search(line if whole else left):
                     if brk:
                         cuts.append(p)
                     break
