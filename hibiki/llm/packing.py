@@ -2,9 +2,11 @@
 
 Documents larger than the capacity are cut into full containers and a rest.  Every other piece goes to the fill
 level that makes the sum of the squared counts of partly filled containers smallest, a new container counting as
-level 0.  Documents are spread over shards by hash; a shard takes its pieces largest first and keeps one array of counts per capacity.  What a shard
-leaves partly filled, below *settled* of the capacity, enters a further round with the left-overs of *fan_in* other
-shards, the fullest first, until one shard is left.
+level 0.  Documents are spread over shards by hash; a shard takes its pieces largest first and keeps one array of counts
+per capacity.  What the shards leave partly filled, below *settled* of the capacity, is dealt to as few shards as hold
+*per_shard* left-overs each and packed again, the fullest first.  Rounds end when one shard is left or the left-overs no
+longer fit into fewer shards, as with pieces over half the capacity, so no task ever holds more than about *per_shard*
+pieces; what then stays open costs at most the unfilled part of one level array per shard.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 _PACKED = "pack_id int, capacity_tokens int, item string, size long, container string, fill long"
 
 
-def pack(sizes: DataFrame, targets: list[tuple[int, int]], doc_id: str = "doc_id", per_shard: int = 50_000, fan_in: int = 16, settled: float = 0.98) -> DataFrame:
+def pack(sizes: DataFrame, targets: list[tuple[int, int]], doc_id: str = "doc_id", per_shard: int = 50_000, settled: float = 0.98) -> DataFrame:
     """(pack_id, capacity_tokens, container_id, fill_tokens, n_members, members) for each target (pack_id, capacity).
 
     members are structs (doc_id, part, tokens), part 0 for a whole document, else 1, 2, ... of a document larger
@@ -71,15 +73,17 @@ def pack(sizes: DataFrame, targets: list[tuple[int, int]], doc_id: str = "doc_id
     if not targets or any(c is None or c < 1 for _, c in targets):
         raise ValueError("targets need capacities of at least 1")
     goals = F.array(*[F.struct(F.lit(int(p)).alias("pack_id"), F.lit(int(c)).alias("capacity_tokens")) for p, c in targets])
-    items = sizes.filter("n_tokens > 0").select(F.col(doc_id).alias("doc"), "n_tokens", F.explode(goals).alias("g")).select("doc", "n_tokens", "g.*")
+    docs = sizes.filter("n_tokens > 0").groupBy(F.col(doc_id).alias("doc"), "n_tokens").agg(F.count("*").alias("copies"))
+    docs = docs.select("doc", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))  # repeated rows get names of their own
+    items = docs.select("doc", "n_tokens", "copy", F.explode(goals).alias("g")).select("doc", "n_tokens", "copy", "g.*")
     items = items.withColumn("full", (F.col("n_tokens") / F.col("capacity_tokens")).cast("long")).withColumn("rest", F.col("n_tokens") - F.col("full") * F.col("capacity_tokens"))
     whole = items.filter("full > 0").withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("full"))))
     split = F.col("n_tokens") > F.col("capacity_tokens")
-    whole = whole.select("pack_id", "capacity_tokens", "doc", F.when(split, F.col("part").cast("int")).otherwise(0).alias("part"), F.col("capacity_tokens").cast("long").alias("size"))
-    rest = items.filter("rest > 0").select("pack_id", "capacity_tokens", "doc", F.when(split, (F.col("full") + 1).cast("int")).otherwise(0).alias("part"), F.col("rest").alias("size"))
+    whole = whole.select("pack_id", "capacity_tokens", "doc", "copy", F.when(split, F.col("part").cast("int")).otherwise(0).alias("part"), F.col("capacity_tokens").cast("long").alias("size"))
+    rest = items.filter("rest > 0").select("pack_id", "capacity_tokens", "doc", "copy", F.when(split, (F.col("full") + 1).cast("int")).otherwise(0).alias("part"), F.col("rest").alias("size"))
     shards = max(1, -(-rest.count() // (per_shard * len(targets))))
-    rest = rest.withColumn("item", F.concat_ws("/", "doc", "part", F.expr("uuid()")))
-    rest = materialize(rest.withColumn("ord", -F.col("size")).withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "doc"), F.lit(shards)).cast("int")), "pack-items")
+    rest = rest.withColumn("item", F.concat_ws("/", "doc", "part", "copy"))
+    rest = materialize(rest.withColumn("ord", -F.col("size")).withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "item"), F.lit(shards)).cast("int")), "pack-items")
     packed = rest.select("pack_id", "capacity_tokens", "shard", "ord", "item", "size", F.lit(0).alias("round"))
     links: list[DataFrame] = []
     done: DataFrame | None = None
@@ -90,8 +94,11 @@ def pack(sizes: DataFrame, targets: list[tuple[int, int]], doc_id: str = "doc_id
         if step and shards == 1:
             break
         open_boxes = out.groupBy("pack_id", "capacity_tokens", "container").agg(F.max("fill").alias("size")).filter(F.col("size") < settled * F.col("capacity_tokens"))
-        shards = -(-shards // fan_in)
-        step += 1
+        most = open_boxes.groupBy("pack_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        fewer = max(1, -(-most // per_shard))
+        if fewer >= shards and not (step == 0 and shards == 1):
+            break
+        shards, step = fewer, step + 1
         packed = open_boxes.select("pack_id", "capacity_tokens", (F.pmod(F.xxhash64("container"), F.lit(shards))).cast("int").alias("shard"), (-F.col("size")).alias("ord"), F.col("container").alias("item"), "size", F.lit(step).alias("round"))
     place_of = links[0]
     for nxt in links[1:]:
@@ -100,5 +107,5 @@ def pack(sizes: DataFrame, targets: list[tuple[int, int]], doc_id: str = "doc_id
     filled = rest.join(place_of, ["pack_id", "item"]).select("pack_id", "capacity_tokens", "container", "doc", "part", "size")
     member = lambda: F.struct(F.col("doc").alias("doc_id"), "part", F.col("size").alias("tokens"))
     boxes = filled.groupBy("pack_id", "capacity_tokens", F.col("container").alias("container_id")).agg(F.sum("size").alias("fill_tokens"), F.count("*").alias("n_members"), F.array_sort(F.collect_list(member())).alias("members"))
-    full = whole.select("pack_id", "capacity_tokens", F.concat_ws("-", F.lit("full"), "doc", "part", F.monotonically_increasing_id()).alias("container_id"), F.col("size").alias("fill_tokens"), F.lit(1).cast("long").alias("n_members"), F.array(member()).alias("members"))
+    full = whole.select("pack_id", "capacity_tokens", F.concat_ws("-", F.lit("full"), "doc", "part", "copy").alias("container_id"), F.col("size").alias("fill_tokens"), F.lit(1).cast("long").alias("n_members"), F.array(member()).alias("members"))
     return boxes.unionByName(full)
