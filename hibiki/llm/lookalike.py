@@ -13,12 +13,11 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.salting import salted_join
 from ..sources.tables import materialize
 
 # Letters of other scripts and the letters of the same shape, in pairs.
@@ -92,9 +91,9 @@ def _table(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(code_points(), "cp string, to string, classes string"))
 
 
-@F.pandas_udf(T.StringType())
-def _recompose(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+def _recompose(c: Column) -> Column:
+    """NFC, by the ICU library that Spark ships for its collations."""
+    return F.when(c.isNotNull(), F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False)))
 
 
 def _ordered(texts: DataFrame) -> DataFrame:
@@ -130,27 +129,29 @@ def one_form(texts: DataFrame, text: str) -> DataFrame:
     marks = F.col("m").rlike("[^.]")
     rebuilt = materialize(rebuilt.select("k0", "k1", "s", marks.alias("marks"), (marks & F.col("m").rlike(_unordered())).alias("unordered")), "rebuilt")
     ordered = rebuilt.filter("not unordered").unionByName(_ordered(rebuilt.filter("unordered")).withColumns({"marks": F.lit(True), "unordered": F.lit(True)}))
-    return plain.unionByName(ordered.select("k0", "k1", F.coalesce(_recompose(F.when(F.col("marks"), F.col("s"))), "s").alias("form")))
+    return plain.unionByName(ordered.select("k0", "k1", F.when(F.col("marks"), _recompose(F.col("s"))).otherwise(F.col("s")).alias("form")))
 
 
-def alike_pairs(rows: DataFrame, group: list[str], row: str, text: str, chunk_rows: int = 100_000) -> DataFrame:
+def alike_pairs(rows: DataFrame, group: list[str], row: str, text: str, chunk_rows: int = 2_000) -> DataFrame:
     """(group, row_a, row_b), row_a < row_b: rows of one group whose texts look the same but are not the same string.
 
-    Texts and forms are compared by 128 bits of hash.  Rows are gathered into chunks per text first, so copies of one
-    text are never paired with each other and a text that a third of all rows share is spread over chunks of bounded
-    size; only forms with several texts are joined.
+    Texts and forms are compared by 128 bits of hash.  Only forms with several texts are joined.  The rows of a text are
+    gathered into chunks of about chunk_rows first: copies of one text are never paired with each other, and a text that
+    a third of all rows share is spread over its chunks.  Pairs of chunks are spread over all tasks before they are
+    expanded, so a task writes chunk_rows ** 2 pairs at a time at most; the number of pairs itself is what is asked for.
     """
     kept = rows.select(*group, F.col(row).alias("row"), F.col(text).cast("string").alias("value")).filter("value is not null and row is not null")
     forms = materialize(one_form(kept, "value").select("k0", "k1", F.xxhash64("form").alias("f0"), F.xxhash64(F.lit(1), "form").alias("f1")), "forms")
     hashed = materialize(keyed(kept, "value").select(*group, "row", "k0", "k1").distinct(), "rows")
-    chunks = max(1, hashed.count() // chunk_rows)
-    variants = hashed.select(*group, "k0", "k1").distinct().join(forms, ["k0", "k1"])
-    several = variants.groupBy(*group, "f0", "f1").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    variants = hashed.groupBy(*group, "k0", "k1").agg(F.count("*").alias("n")).join(forms, ["k0", "k1"])
+    variants = materialize(variants, "looks")
+    several = variants.groupBy(*group, "f0", "f1").agg(F.count("*").alias("texts")).filter("texts > 1").drop("texts")
     variants = materialize(variants.join(several, [*group, "f0", "f1"], "left_semi"), "variants")
-    gathered = hashed.join(variants, [*group, "k0", "k1"]).groupBy(*group, "f0", "f1", "k0", "k1", F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk")).agg(F.collect_list("row").alias("members"))
-    gathered = materialize(gathered.drop("chunk"), "chunks")
-    a = gathered.select(*group, "f0", "f1", F.struct("k0", "k1").alias("ka"), F.col("members").alias("ma"))
-    b = gathered.select(*group, "f0", "f1", F.struct("k0", "k1").alias("kb"), F.col("members").alias("mb"))
-    pairs = a.join(b, [*group, "f0", "f1"]).filter("ka < kb")
+    placed = salted_join(hashed, variants.withColumn("chunks", F.ceil(F.col("n") / chunk_rows)), [*group, "k0", "k1"], "n", "row", hot_rows=50 * chunk_rows)
+    gathered = placed.groupBy(*group, "f0", "f1", "k0", "k1", F.pmod(F.xxhash64("row"), F.col("chunks")).alias("chunk")).agg(F.collect_list("row").alias("members"))
+    gathered = materialize(gathered, "chunks")
+    a = gathered.select(*group, "f0", "f1", F.struct("k0", "k1").alias("ka"), F.col("chunk").alias("ca"), F.col("members").alias("ma"))
+    b = gathered.select(*group, "f0", "f1", F.struct("k0", "k1").alias("kb"), F.col("chunk").alias("cb"), F.col("members").alias("mb"))
+    pairs = a.join(b, [*group, "f0", "f1"]).filter("ka < kb").repartition("ka", "kb", "ca", "cb")
     pairs = pairs.select(*group, F.explode("ma").alias("x"), "mb").select(*group, "x", F.explode("mb").alias("y"))
     return pairs.select(*group, F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b")).filter("row_a < row_b").distinct()
