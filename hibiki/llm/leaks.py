@@ -9,7 +9,8 @@ up in the buckets of anchor hashes, and the items of a bucket are confirmed by d
 match to both sides.
 
 Items are taken in blocks of bounded size (*block_chars* letters); each block is broadcast and the corpus, read
-whole, streams past it without a shuffle.
+whole, streams past it without a shuffle.  With more than one block the corpus is folded to its letters once and
+written, and every block reads the folded texts.
 """
 
 from __future__ import annotations
@@ -154,6 +155,7 @@ def _normalize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, tenths: int = 7, block_chars: int = 12_000_000, batch_chars: int = 1_500_000) -> DataFrame:
     """(doc_id, item_table, item_id), distinct: documents that hold at least tenths/10 of an item's letters unbroken.
 
+    An item of a single letter is held by every document with that letter: the definition knows no least length.
     items has item_table, item_id, item_text.  Null texts, and items without a letter or digit, are held by none;
     repeated rows change nothing; equal item texts are searched once and reported under every id.
     """
@@ -167,12 +169,14 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, tenths: int
     blocks = max(1, -(-int(total) // block_chars))
     corpus = docs.select(F.col(doc_id), F.col(text).cast("string").alias("__text")).filter("__text is not null")
     corpus = spread(corpus)
+    if blocks > 1:
+        corpus = materialize(corpus.mapInArrow(_fold_texts, corpus.schema), "letters")
     schema = T.StructType([corpus.schema[doc_id], T.StructField("norm", T.StringType())])
     found = None
     for b in range(blocks):
         block = texts.filter(F.pmod(F.xxhash64("norm"), F.lit(blocks)) == b)
         tables = spark.sparkContext.broadcast(Patterns(block.toArrow()["norm"].to_pylist(), tenths))
-        hits = corpus.mapInArrow(_scan(tables, batch_chars, doc_id, schema), schema)
+        hits = corpus.mapInArrow(_scan(tables, batch_chars, doc_id, schema, blocks > 1), schema)
         if blocks > 1:
             hits = materialize(hits, "hits")
             tables.destroy()
@@ -180,7 +184,12 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, tenths: int
     return found.join(normal, "norm").select(doc_id, "item_table", "item_id").distinct()
 
 
-def _scan(tables, batch_chars: int, doc_id: str, schema: T.StructType):
+def _fold_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([letters(t) for t in b.column(1).to_pylist()], pa.string())], names=b.schema.names)
+
+
+def _scan(tables, batch_chars: int, doc_id: str, schema: T.StructType, folded: bool):
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = to_arrow_type(schema[doc_id].dataType)
@@ -197,7 +206,7 @@ def _scan(tables, batch_chars: int, doc_id: str, schema: T.StructType):
         size = 0
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = letters(t)
+                t = t if folded else letters(t)
                 keys.append(k)
                 texts.append(t)
                 size += len(t)

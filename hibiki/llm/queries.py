@@ -82,9 +82,17 @@ def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _copies(spark, sf_dir).groupBy("src_table", F.col("first").alias("row_no")).agg(F.countDistinct("key").alias("n_copies"))
 
 
+def _parameters(df: DataFrame, most: int = 100_000) -> list:
+    """The rows of a table of parameters.  It goes to the driver, so more rows than *most* are an error; none is left out."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows of parameters")
+    return rows
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = tokens.token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text")
-    targets = [(r["pack_id"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_targets").limit(100).collect()]
+    targets = [(r["pack_id"], r["capacity_tokens"]) for r in _parameters(table(spark, sf_dir, "pack_targets").select("pack_id", "capacity_tokens"))]
     return packing.pack(sizes, targets)
 
 
@@ -96,7 +104,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, float, int]]:
-    return [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "mix_targets").limit(10_000).collect()]
+    return [(r["source"], r["target_share"], r["max_repeats"]) for r in _parameters(table(spark, sf_dir, "mix_targets"))]
 
 
 def p8_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
