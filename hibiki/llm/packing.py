@@ -79,10 +79,10 @@ def pack(sizes: DataFrame, targets: list[tuple[int, int]], doc_id: str = "doc_id
     items = items.withColumn("full", (F.col("n_tokens") / F.col("capacity_tokens")).cast("long")).withColumn("rest", F.col("n_tokens") - F.col("full") * F.col("capacity_tokens"))
     whole = items.filter("full > 0").withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("full"))))
     split = F.col("n_tokens") > F.col("capacity_tokens")
-    whole = whole.select("pack_id", "capacity_tokens", "doc", "copy", F.when(split, F.col("part").cast("int")).otherwise(0).alias("part"), F.col("capacity_tokens").cast("long").alias("size"))
-    rest = items.filter("rest > 0").select("pack_id", "capacity_tokens", "doc", "copy", F.when(split, (F.col("full") + 1).cast("int")).otherwise(0).alias("part"), F.col("rest").alias("size"))
+    whole = whole.select("pack_id", "capacity_tokens", "doc", "n_tokens", "copy", F.when(split, F.col("part").cast("int")).otherwise(0).alias("part"), F.col("capacity_tokens").cast("long").alias("size"))
+    rest = items.filter("rest > 0").select("pack_id", "capacity_tokens", "doc", "n_tokens", "copy", F.when(split, (F.col("full") + 1).cast("int")).otherwise(0).alias("part"), F.col("rest").alias("size"))
     shards = max(1, -(-rest.count() // (per_shard * len(targets))))
-    rest = rest.withColumn("item", F.concat_ws("/", "doc", "part", "copy"))
+    rest = rest.withColumn("item", F.concat_ws("/", "doc", "n_tokens", "part", "copy"))
     rest = materialize(rest.withColumn("ord", -F.col("size")).withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "item"), F.lit(shards)).cast("int")), "pack-items")
     packed = rest.select("pack_id", "capacity_tokens", "shard", "ord", "item", "size", F.lit(0).alias("round"))
     links: list[DataFrame] = []
@@ -107,5 +107,5 @@ def pack(sizes: DataFrame, targets: list[tuple[int, int]], doc_id: str = "doc_id
     filled = rest.join(place_of, ["pack_id", "item"]).select("pack_id", "capacity_tokens", "container", "doc", "part", "size")
     member = lambda: F.struct(F.col("doc").alias("doc_id"), "part", F.col("size").alias("tokens"))
     boxes = filled.groupBy("pack_id", "capacity_tokens", F.col("container").alias("container_id")).agg(F.sum("size").alias("fill_tokens"), F.count("*").alias("n_members"), F.array_sort(F.collect_list(member())).alias("members"))
-    full = whole.select("pack_id", "capacity_tokens", F.concat_ws("-", F.lit("full"), "doc", "part", "copy").alias("container_id"), F.col("size").alias("fill_tokens"), F.lit(1).cast("long").alias("n_members"), F.array(member()).alias("members"))
+    full = whole.select("pack_id", "capacity_tokens", F.concat_ws("-", F.lit("full"), "doc", "n_tokens", "part", "copy").alias("container_id"), F.col("size").alias("fill_tokens"), F.lit(1).cast("long").alias("n_members"), F.array(member()).alias("members"))
     return boxes.unionByName(full)

@@ -61,3 +61,69 @@ def test_terms_of_all_four_sizes():
 def test_every_compatibility_form_is_folded():
     for disguised, plain in (("\u1107\u1161\u1107\u1169", "바보"), ("ⓘⓓⓘⓞⓣ", "idiot"), ("ⁱdiot", "idiot"), ("tr＠sh", "trash")):
         assert abuse.undisguised(disguised) == abuse.undisguised(plain)
+
+
+def test_packing_of_pieces_over_half_the_capacity_stays_in_shards(spark):
+    from hibiki.llm import packing
+
+    df = spark.createDataFrame([(i, 60 + i % 30) for i in range(400)], "doc_id long, n_tokens long")
+    first = packing.pack(df, [(1, 100)], per_shard=50).collect()
+    assert len(first) == 400 and all(r["n_members"] == 1 for r in first)
+    small = spark.createDataFrame([(i, 1 + (i * 37) % 40) for i in range(400)], "doc_id long, n_tokens long")
+    runs = [{(r["container_id"], r["fill_tokens"]) for r in packing.pack(small, [(1, 100)], per_shard=50).collect()} for _ in range(2)]
+    assert runs[0] == runs[1] and sum(f for _, f in runs[0]) == sum(1 + (i * 37) % 40 for i in range(400))
+    assert len(runs[0]) <= 1.05 * sum(f for _, f in runs[0]) / 100 + 8
+
+
+def test_long_quotations_lists_and_headings(spark):
+    from hibiki.llm import sentences
+
+    for n in (20, 60):
+        assert len(sentences.units("「" + "弁を閉めて点検する。" * n + "」と書いてある。次に進む。")) == 2
+    line = "1. " + "check the valve and the belt " * 12
+    got = sentences.units(line.strip() + "\nNext step here\n2. open it")
+    assert [a for a, _ in got] == [0, len(line), len(line) + 15]
+
+
+def test_short_questions_given_back_are_copies():
+    assert qa_defects.is_copy("担当は？", "担当は？") and qa_defects.is_copy("担当は？", "「担当は」というご質問ですね。")
+    assert not qa_defects.is_copy("担当は？", "担当は班長です。") and not qa_defects.is_copy("？", "はい")
+
+
+def test_links_found_of_those_of_brute_force(spark):
+    """Of the pairs of openings with similarity 0.8 or more, how many end in one cluster: at least nine tenths."""
+    import random
+
+    rng = random.Random(4)
+    base = ["the valve of the press must be closed before the shift ends", "軸受を外し、三十分待ってから清掃します。その後、点検票に記入します", "bitte zuerst die pumpe abstellen und dann den deckel öffnen"]
+    texts = set()
+    for i in range(240):
+        t = list(base[i % 3])
+        for _ in range(rng.randint(0, 6)):
+            t[rng.randrange(len(t))] = rng.choice("abcdxyz記録")
+        texts.add("".join(t))
+    texts = sorted(texts)
+    sets = [set(qa_defects._shingles(t).tolist()) for t in texts]
+    true = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    cluster = {r["opening"]: r["cluster"] for r in qa_defects.opening_clusters(spark.createDataFrame([(t,) for t in texts], "opening string"), chunk=50).collect()}
+    found = sum(cluster[texts[i]] == cluster[texts[j]] for i, j in true)
+    assert len(true) > 100 and found >= 0.9 * len(true)
+
+
+def test_leaks_of_one_letter_and_of_many_blocks(spark):
+    from hibiki.llm import leaks
+
+    docs = spark.createDataFrame([(1, "Ａ valve"), (2, "b"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("t", "x", "a"), ("t", "y", "VALVE!"), ("t", "z", "b")], "item_table string, item_id string, item_text string")
+    want = {(1, "t", "x"), (1, "t", "y"), (2, "t", "z")}
+    for block in (1, 12_000_000):
+        assert {tuple(r) for r in leaks.leaks(docs, "doc_id", "text", items, block_chars=block).collect()} == want
+
+
+def test_abuse_over_two_passages_and_long_memory(spark):
+    rows = [(i, "You filthy idiot.\nCheck the valve." if i % 2 else "Check the valve.\nWait for the press.", "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    for remembered in (200_000, 0):
+        got = {r["doc_id"]: r["score"] for r in abuse.abuse_scores(docs, labels, remembered=remembered).collect()}
+        assert all((got[i] > 0.5) == bool(i % 2) for i in range(40))
