@@ -51,16 +51,38 @@ def islands(rows: DataFrame, key: str, order: list[str], flag: Column) -> DataFr
     return starts.withColumn("island", F.sum("__s").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long")).filter("__f").drop("__f", "__s")
 
 
+def business_micros(start: Column, end: Column, open_hour: int = 8, close_hour: int = 21) -> Column:
+    """Microseconds of [start, end) on weekdays between the hours, in local time; null for null, 0 for an empty interval."""
+
+    def worked(d: Column) -> Column:
+        day = d.cast("timestamp_ntz")
+        lo, hi = F.greatest(start, day + F.make_dt_interval(hours=F.lit(open_hour))), F.least(end, day + F.make_dt_interval(hours=F.lit(close_hour)))
+        return F.when(F.dayofweek(d).isin(1, 7), F.lit(0).cast("long")).otherwise(F.greatest(F.unix_micros(hi.cast("timestamp")) - F.unix_micros(lo.cast("timestamp")), F.lit(0).cast("long")))
+
+    days = F.sequence(F.to_date(start), F.greatest(F.to_date(start), F.to_date(end)))
+    return F.aggregate(F.transform(days, worked), F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
 def business_seconds(spans: DataFrame, start: str, end: str, open_hour: int = 8, close_hour: int = 21) -> DataFrame:
-    """spans with *business*: seconds of [start, end) on weekdays between the hours; both columns in local time."""
-    keep = spans.withColumn("__id", F.struct(*spans.columns))
-    days = keep.withColumn("__d", F.explode(F.sequence(F.to_date(start), F.to_date(end))))
-    day = F.col("__d").cast("timestamp_ntz")
-    lo = F.greatest(F.col(start), day + F.make_dt_interval(hours=F.lit(open_hour)))
-    hi = F.least(F.col(end), day + F.make_dt_interval(hours=F.lit(close_hour)))
-    us = F.unix_micros(hi.cast("timestamp")) - F.unix_micros(lo.cast("timestamp"))
-    worked = F.when(F.dayofweek("__d").isin(1, 7), 0).otherwise(F.greatest(us, F.lit(0)))
-    return days.groupBy("__id").agg(F.round(F.sum(worked) / 1e6, 3).alias("business")).select("__id.*", "business")
+    """spans with *business*: seconds of [start, end) on weekdays between the hours; both columns in local time.  One pass, no shuffle."""
+    return spans.withColumn("business", F.round(business_micros(F.col(start), F.col(end), open_hour, close_hour) / 1e6, 3))
+
+
+def by_day(rows: DataFrame, key: str, at: str, tie: str, *carried: str) -> DataFrame:
+    """rows with the last and the next row of their key: last_at, next_at and last_<c> for each carried column.
+
+    Windows are per key and day; what lies beyond a day comes from one row per key and day, so a key with a third of all
+    rows is spread over its days.
+    """
+    inner = W.partitionBy(key, "__day").orderBy(at, tie)
+    daily = rows.withColumn("__day", F.to_date(at))
+    edge = F.struct(F.col(at).alias("a"), F.col(tie).alias("t"), *[F.col(c).alias(c) for c in carried])
+    days = daily.groupBy(key, "__day").agg(F.min(F.struct(F.col(at).alias("a"), F.col(tie).alias("t"))).alias("__first"), F.max(edge).alias("__final"))
+    outer = W.partitionBy(key).orderBy("__day")
+    days = days.select(key, "__day", F.lag("__final").over(outer).alias("__before"), F.lead("__first").over(outer).alias("__after"))
+    out = daily.withColumns({"__p": F.lag(edge).over(inner), "__n": F.lead(F.col(at)).over(inner)}).join(days, [key, "__day"], "left")
+    last = F.coalesce("__p", "__before")
+    return out.select(*rows.columns, last["a"].alias("last_at"), F.coalesce("__n", F.col("__after.a")).alias("next_at"), *[last[c].alias(f"last_{c}") for c in carried])
 
 
 def availability(probes: DataFrame, key: str, at: str, ok: Column, tie: str, max_gap: int = 300) -> DataFrame:
@@ -68,10 +90,9 @@ def availability(probes: DataFrame, key: str, at: str, ok: Column, tie: str, max
 
     share is up / (up + down), null without either; an outage is a run of failed probes.
     """
-    w = W.partitionBy(key).orderBy(at, tie)
-    gap = (F.unix_micros(F.lead(at).over(w).cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / 1e6
-    rows = probes.select(key, at, tie, ok.alias("ok"), F.coalesce(gap, F.lit(0.0)).alias("gap"))
-    rows = rows.withColumn("first_down", (~F.col("ok") & F.coalesce(F.lag("ok").over(w), F.lit(True))).cast("long"))
+    rows = by_day(probes.select(key, at, tie, ok.alias("ok")), key, at, tie, "ok")
+    gap = (F.unix_micros(F.col("next_at").cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / 1e6
+    rows = rows.select(key, "ok", F.coalesce(gap, F.lit(0.0)).alias("gap"), (~F.col("ok") & F.coalesce("last_ok", F.lit(True))).cast("long").alias("first_down"))
     held = F.least("gap", F.lit(float(max_gap)))
     out = rows.groupBy(key).agg(
         F.round(F.sum(F.when(F.col("ok"), held).otherwise(0.0)), 3).alias("up"), F.round(F.sum(F.when(~F.col("ok"), held).otherwise(0.0)), 3).alias("down"), F.round(F.sum(F.col("gap") - held), 3).alias("unmonitored"), F.sum("first_down").alias("outages")
@@ -79,6 +100,13 @@ def availability(probes: DataFrame, key: str, at: str, ok: Column, tie: str, max
     return out.withColumn("share", F.round(F.col("up") / (F.col("up") + F.col("down")), 6))
 
 
+def held_intervals(probes: DataFrame, key: str, at: str, ok: Column, tie: str, max_gap: int = 300) -> DataFrame:
+    """(key, start, end, ok): each probe holds until the next one of its key, at most max_gap seconds; the last one holds for nothing."""
+    rows = by_day(probes.select(key, at, tie, ok.alias("ok")), key, at, tie)
+    end = F.least("next_at", F.col(at) + F.make_dt_interval(secs=F.lit(max_gap)))
+    return rows.select(key, F.col(at).alias("start"), end.alias("end"), "ok").filter("end is not null")
+
+
 def chain_breaks(ledger: DataFrame, key: str, order: list[str], digest: str, previous: str) -> DataFrame:
     """(key, entries, breaks): entries whose stored previous digest is not the digest before; the first has none."""
     w = W.partitionBy(key).orderBy(*order)

@@ -6,7 +6,8 @@ fall in that period.  Folding the latter over the periods gives the keys that ar
 period: begun in an earlier period and not deleted by its end.  References AND-NOT that bitmap survive; they are
 decoded, and only they are held against the exact times.
 
-The timelines of the surviving keys are split by day, so a key with a third of all rows is spread over its days.
+A key with a third of all references is salted where its references meet what is known of it; the timelines of the
+surviving keys are split by day, so there such a key is spread over its days.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.salting import salted_join
 from ..sources.tables import materialize
 
 RANGE = 1 << 15
@@ -78,7 +80,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, tombstones: DataFrame
     refs = materialize(refs.withColumn("period", F.coalesce(_period(F.col("at")), F.lit("9999"))), "refs")
     versions = parents.select("target", "key", F.coalesce("at", F.lit("0001-01-01").cast("timestamp")).alias("at")).filter("key is not null").distinct()
     deletions = tombstones.select("target", "key", "at").filter("key is not null and at is not null").distinct()
-    ref_keys = refs.groupBy("target", F.col("ref_key").alias("key"), "period").agg(F.lit(1).alias("one")).drop("one")
+    counted = materialize(refs.groupBy("target", "ref_key", "period").agg(F.count("*").alias("n")), "asked")
+    ref_keys = counted.select("target", F.col("ref_key").alias("key"), "period")
     firsts = versions.groupBy("target", "key").agg(F.min("at").alias("first")).select("target", "key", _period(F.col("first")).alias("period"))
     gone = deletions.groupBy("target", "key").agg(F.min("at").alias("first")).select("target", "key", _period(F.col("first")).alias("period"))
     known = materialize(ref_keys.withColumn("kind", F.lit("ref")).unionByName(firsts.withColumn("kind", F.lit("begun"))).unionByName(gone.withColumn("kind", F.lit("gone"))), "keys")
@@ -88,12 +91,16 @@ def orphan_references(refs: DataFrame, parents: DataFrame, tombstones: DataFrame
     numbered = known.join(numbers, ["target", "key"])
     maps = _bitmaps(numbered.filter("kind = 'ref'"), "ref").unionByName(_bitmaps(numbered.filter("kind = 'begun'"), "begun")).unionByName(_bitmaps(numbered.filter("kind = 'gone'"), "gone"))
     left = maps.groupBy("target", "chunk").applyInPandas(_survivors, "target string, key_no long, period string")
-    doubtful = materialize(left.join(numbers, ["target", "key_no"]).select("target", "key", "period"), "doubtful")
-    suspects = refs.join(doubtful.withColumnRenamed("key", "ref_key"), ["target", "ref_key", "period"])
-    suspects = materialize(suspects, "suspects")
-    asked = suspects.select("target", F.col("ref_key").alias("key"), "at").distinct()
-    states = _states(asked, versions, deletions)
-    found = suspects.join(states, (suspects["target"] == states["t"]) & (suspects["ref_key"] == states["key"]) & suspects["at"].eqNullSafe(states["asked_at"]))
+    doubtful = left.join(numbers, ["target", "key_no"]).select("target", F.col("key").alias("ref_key"), "period").join(counted, ["target", "ref_key", "period"])
+    suspects = salted_join(refs, materialize(doubtful, "doubtful"), ["target", "ref_key", "period"], "n", "record_id")
+    none = F.lit("9999-12-31").cast("timestamp")  # stands for no time in the join
+    suspects = materialize(suspects.withColumn("asked_at", F.coalesce("at", none)), "suspects")
+    asked = suspects.groupBy("target", F.col("ref_key").alias("key"), "at").agg(F.count("*").alias("n"))
+    asked = materialize(asked, "times")
+    often = asked.select(F.col("target").alias("t"), "key", F.coalesce("at", none).alias("asked_at"), "n")
+    states = _states(asked.drop("n"), versions, deletions).withColumn("asked_at", F.coalesce("asked_at", none)).join(often, ["t", "key", "asked_at"])
+    states = states.select(F.col("t").alias("target"), F.col("key").alias("ref_key"), "asked_at", "orphan_state", "n")
+    found = salted_join(suspects, materialize(states, "states"), ["target", "ref_key", "asked_at"], "n", "record_id")
     return found.select("ref_table", "ref_field", "record_id", "ref_key", "orphan_state", F.when(F.col("at").isNotNull(), _period(F.col("at"))).alias("ref_month")).distinct()
 
 

@@ -41,9 +41,11 @@ def feedback_adjustments(signals: DataFrame, key: str, kind: str, weights: dict[
 def near_matches(asked: DataFrame, known: DataFrame, q: str, key: str, text: str, least_chars: int = 18, ratio: float = 0.8, anchor: int = 8) -> DataFrame:
     """(q, key): strong keys of which one contains the other, the shorter at least *ratio* of the longer.
 
-    The shorter's middle *anchor* characters must stand in the longer; the windows of both sides are joined on them, so
-    no side is compared with all of the other.
+    Shorter keys than least_chars match nearly anything and are left to exact lookups; 1 lets every key in.  The
+    shorter's middle characters, *anchor* of them or all where it has fewer, must stand in the longer: the windows of both
+    sides are joined on them, so no side is compared with all of the other.
     """
+    anchor = min(anchor, max(1, int(least_chars)))
     a = asked.select(q, X.strong_key(F.col(text)).alias("a")).filter(F.length("a") >= least_chars)
     b = known.select(key, X.strong_key(F.col(text)).alias("b")).filter(F.length("b") >= least_chars)
     middle = lambda c: F.substring(c, F.floor((F.length(c) - anchor) / 2).cast("int") + 1, F.lit(anchor))
