@@ -447,6 +447,7 @@ def qa_defects(pairs: DataFrame, key: str, question: str, answer: str, similarit
     hinting = labels.join(heads, "opening").groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("hints").alias("hints")).filter("2 * hints >= n").select("cluster")
     candidates = labels.join(hinting, "cluster")
     asked = seen.filter("question is not null").join(candidates, "opening").select("cluster", "question").distinct()
+    asked = materialize(asked, "asked")  # else filters on the trigrams are pushed to all questions
     templates = prompt_likeness(asked).filter(F.col("likeness") < unrelated)
     declining = candidates.join(templates, "cluster").select("opening", F.lit(True).alias("template"))
     unsure = seen.filter("kind is null and is_open = 0 and size(final) = 2")
