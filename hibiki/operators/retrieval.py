@@ -25,7 +25,7 @@ def ranked(df: DataFrame, *order: Column, by: tuple[str, ...] = ("q",), name: st
     return out if k is None else out.filter(F.col(name) <= k)
 
 
-def lanes(docs: DataFrame, queries: DataFrame, keep: int = 20, k1: float = 1.5, b: float = 0.75, block: int = 1024, batch_docs: int = 512) -> DataFrame:
+def lanes(docs: DataFrame, queries: DataFrame, keep: int = 20, k1: float = 1.5, b: float = 0.75, block: int = 4096, batch_docs: int = 256) -> DataFrame:
     """(q, doc, bm25, cosine, exact): for each query the documents that are among its first *keep* in one of the lanes.
 
     docs: doc (long), tokens.  queries: q (long), tokens; a stated query set, taken in blocks.  bm25: Okapi with
@@ -35,8 +35,8 @@ def lanes(docs: DataFrame, queries: DataFrame, keep: int = 20, k1: float = 1.5,
     The documents are tokenized once, into a table that is read for their lengths, for the document frequencies of the
     queries' terms and once per block for scores: a block's
     terms, their idf and the queries that have them are broadcast, every batch of documents is scored against the whole
-    block by counting, and a task hands on only its own best rows, so the shuffle carries tasks * queries * keep rows at
-    most and not every matching pair.
+    block by counting, cut to the best by selection, not by sorting, and a task hands on only its own best rows, so the
+    shuffle carries tasks * queries * keep rows at most and not every matching pair.
     """
     spark = docs.sparkSession
     sized = materialize(docs.select("doc", F.size("tokens").alias("n"), "tokens"), "tokens")
@@ -73,7 +73,8 @@ class _QueryBlock:
 
         self.q = rows["q"].to_numpy(np.int64)
         self.sizes = np.array([len(t) for t in rows["t"]], float)
-        self.index = {t: i for i, t in enumerate(df)}
+        self.terms = pd.Index(list(df), dtype=object)
+        index = {t: i for i, t in enumerate(df)}
         counts = np.fromiter(df.values(), float, len(df))
         self.idf = np.log(1 + (docs - counts + 0.5) / (counts + 0.5))
         code = re.compile(EXACT)
@@ -81,8 +82,8 @@ class _QueryBlock:
         owners: list[list[int]] = [[] for _ in df]
         for k, tokens in enumerate(rows["t"]):
             for t in tokens:
-                if t in self.index:
-                    owners[self.index[t]].append(k)
+                if t in index:
+                    owners[index[t]].append(k)
         self.start = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
         self.owner = np.array([k for o in owners for k in o], np.int64)
         self.mean, self.k1, self.b = mean, k1, b
@@ -90,17 +91,11 @@ class _QueryBlock:
     def scores(self, docs: list, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """bm25, cosine and exact, each (queries, documents)."""
         nq, nd = len(self.q), len(docs)
-        which, term, tf = [], [], []
-        for d, tokens in enumerate(docs):
-            found: dict[int, int] = {}
-            for t in tokens:
-                i = self.index.get(t)
-                if i is not None:
-                    found[i] = found.get(i, 0) + 1
-            which += [d] * len(found)
-            term += found.keys()
-            tf += found.values()
-        which, term, tf = np.array(which, np.int64), np.array(term, np.int64), np.array(tf, float)
+        flat = np.concatenate([np.asarray(t, object) for t in docs]) if nd else np.zeros(0, object)
+        ids = self.terms.get_indexer(flat)
+        asked = ids >= 0
+        cells, tf = np.unique(np.repeat(np.arange(nd), [len(t) for t in docs])[asked] * len(self.terms) + ids[asked], return_counts=True)
+        which, term = np.divmod(cells, max(1, len(self.terms)))
         weight = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * lengths[which] / self.mean)) if len(term) else np.zeros(0)
         n = self.start[term + 1] - self.start[term] if len(term) else np.zeros(0, np.int64)
         at = np.repeat(self.start[term] - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(term) else np.zeros(0, np.int64)
@@ -112,13 +107,13 @@ class _QueryBlock:
 
 
 def _score(shared, keep: int, batch_docs: int):
-    def best(doc: np.ndarray, bm25: np.ndarray, cosine: np.ndarray, exact: np.ndarray) -> np.ndarray:
-        """Which cells are among the first *keep* of their query in one of the lanes."""
+    def best(bm25: np.ndarray, cosine: np.ndarray, exact: np.ndarray) -> np.ndarray:
+        """Which cells may be among the first *keep* of their query in one of the lanes; equal scores all may."""
         wanted = np.zeros(bm25.shape, bool)
-        ids = np.broadcast_to(doc, bm25.shape)
-        for keys in ((ids, -bm25), (ids, -cosine), (ids, -bm25, -exact)):
-            order = np.lexsort(keys, axis=1)[:, :keep]
-            np.put_along_axis(wanted, order, True, 1)
+        for score in (bm25, cosine, exact * 1e7 + bm25):
+            if score.shape[1] <= keep:
+                return cosine > 0
+            wanted |= score >= np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep, None]
         return wanted & (cosine > 0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,7 +137,7 @@ def _score(shared, keep: int, batch_docs: int):
                 some = pdf.iloc[lo : lo + batch_docs]
                 doc = some["doc"].to_numpy(np.int64)
                 bm25, cosine, exact = model.scores(some["tokens"].tolist(), some["n"].to_numpy(float))
-                k, d = np.nonzero(best(doc, bm25, cosine, exact))
+                k, d = np.nonzero(best(bm25, cosine, exact))
                 held.append((k, doc[d], bm25[k, d], cosine[k, d], exact[k, d]))
                 size += len(k)
             if size > 1_000_000:
@@ -258,25 +253,51 @@ def first_by_key(passes: DataFrame, keys: list[str], *order: Column) -> DataFram
     return passes.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__r = 1").drop("__r")
 
 
+def _matrix(rows: pd.DataFrame) -> np.ndarray:
+    return np.array([np.asarray(x, float) for x in rows["v"]])
+
+
+def _blocks(queries: DataFrame, block: int) -> Iterator[pd.DataFrame]:
+    """A stated query set with vectors (q, v, tenant), in blocks of bounded size; null, empty and zero vectors are left out."""
+    asked = queries.select("q", "v", F.col("tenant").cast("string").alias("tenant") if "tenant" in queries.columns else F.lit(None).cast("string").alias("tenant"))
+    n = max(1, -(-queries.count() // block))
+    numbered = asked.filter(F.size("v") > 0).withColumn("b", F.pmod(F.xxhash64("q"), F.lit(n)))
+    for i in range(n):
+        rows = numbered.filter(F.col("b") == i).drop("b").toPandas()
+        rows = rows[[bool(np.any(x)) for x in rows["v"]]] if len(rows) else rows
+        if len(rows):
+            yield rows.reset_index(drop=True)
+
+
+def _first(score: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest scores of each row, equal scores by document: selected, then only those sorted."""
+    if score.shape[1] > k:
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k, None]
+        row, col = np.nonzero((score >= least) & (score > -np.inf))
+    else:
+        row, col = np.nonzero(score > -np.inf)
+    order = np.lexsort((doc[col], -score[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+    return row[place < k], col[place < k]
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """(q, doc, cosine, rank): exact nearest vectors.  vectors: doc, v.  queries: q, v; taken in blocks of bounded size.
 
-    Each block is broadcast as one matrix; a batch of vectors keeps its k best per query before anything is shuffled.
-    Null, empty and zero vectors match nothing; vectors of another length than the block's are an error.
+    With a column *tenant* on both sides only vectors of the query's tenant count, from the first pass on: no oversampling
+    and second look is needed to fill the k places.  Each block is broadcast as one matrix; a batch of vectors keeps its k
+    best per query, by selection, before anything is shuffled.  Null, empty and zero vectors match nothing; vectors of
+    another length than the block's are an error.
     """
     spark = vectors.sparkSession
-    n = queries.count()
+    own = F.col("tenant").cast("string") if "tenant" in vectors.columns and "tenant" in queries.columns else F.lit(None).cast("string")
+    rows = vectors.filter(F.size("v") > 0).select("doc", "v", own.alias("tenant"))
     out = None
-    numbered = queries.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(max(1, -(-n // block)))).alias("b"))
-    for i in range(max(1, -(-n // block))):
-        rows = numbered.filter(F.col("b") == i).select("q", "v").toPandas()
-        rows = rows[[x is not None and len(x) > 0 for x in rows["v"]]]
-        if rows.empty:
-            continue
-        m = np.array([np.asarray(x, float) for x in rows["v"]])
-        norms = np.linalg.norm(m, axis=1)
-        m, ids = m[norms > 0] / norms[norms > 0, None], rows["q"].to_numpy()[norms > 0]
-        part = vectors.select("doc", "v").mapInPandas(_nearest(spark.sparkContext.broadcast((ids, m)), k), "q long, doc long, cosine double")
+    for asked in _blocks(queries, block):
+        m = _matrix(asked)
+        model = (asked["q"].to_numpy(), m / np.linalg.norm(m, axis=1, keepdims=True), asked["tenant"].to_numpy(object) if "tenant" in vectors.columns and "tenant" in queries.columns else None)
+        part = rows.mapInPandas(_nearest(spark.sparkContext.broadcast(model), k), "q long, doc long, cosine double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "q long, doc long, cosine double, rank long")
@@ -285,37 +306,130 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int =
 
 def _nearest(shared, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, m = shared.value
+        ids, m, tenants = shared.value
         for pdf in batches:
-            pdf = pdf[[x is not None and len(x) > 0 for x in pdf["v"]]]
-            if pdf.empty:
-                continue
-            x = np.array([np.asarray(v, float) for v in pdf["v"]])
+            x = _matrix(pdf) if len(pdf) else np.zeros((0, m.shape[1]))
             norm = np.linalg.norm(x, axis=1)
             doc = pdf["doc"].to_numpy()[norm > 0]
             sims = np.round(m @ (x[norm > 0] / norm[norm > 0, None]).T, 6)
-            keep = min(k, sims.shape[1])
-            for lo in range(0, len(ids), 256):
-                s = sims[lo : lo + 256]
-                order = np.lexsort((np.broadcast_to(doc, s.shape), -s), axis=1)[:, :keep]
-                yield pd.DataFrame({"q": np.repeat(ids[lo : lo + 256], keep), "doc": doc[order].ravel(), "cosine": np.take_along_axis(s, order, 1).ravel()})
+            if tenants is not None and len(doc):
+                sims[tenants[:, None] != pdf["tenant"].to_numpy(object)[norm > 0][None, :]] = -np.inf
+            row, col = _first(sims, doc, k)
+            yield pd.DataFrame({"q": ids[row], "doc": doc[col], "cosine": sims[row, col]})
 
     return run
 
 
-def int8_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, oversample: int = 4, block: int = 4096) -> DataFrame:
-    """Nearest vectors by int8 codes (per dimension least and greatest value, 255 steps), the best k * oversample scored exactly."""
-    seen = vectors.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.min("x").cast("double").alias("lo"), F.max("x").cast("double").alias("hi")).orderBy("i").collect()  # one row per dimension
-    bounds = F.array(*[F.struct(F.lit(r["lo"]).alias("lo"), F.lit(r["hi"]).alias("hi")) for r in seen])
-    code = lambda v: F.zip_with(v, bounds, lambda x, b: F.round((x.cast("double") - b["lo"]) / F.greatest(b["hi"] - b["lo"], F.lit(1e-12)) * 255) / 255 * (b["hi"] - b["lo"]) + b["lo"])
-    rough = dense_topk(vectors.select("doc", code(F.col("v")).alias("v")), queries, k * oversample, block).select("q", "doc")
-    exact = rough.join(vectors, "doc").join(queries.select("q", F.col("v").alias("qv")), "q")
+def _rescored(rough: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(q, doc, cosine, rank): the candidates (q, doc) scored by their own vectors."""
+    exact = rough.join(vectors.select("doc", "v"), "doc").join(queries.select("q", F.col("v").alias("qv")), "q")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     v, qv = F.col("v"), F.col("qv")
     scored = exact.select("q", "doc", F.round(dot(v, qv) / F.sqrt(dot(v, v) * dot(qv, qv)), 6).alias("cosine"))
     return ranked(scored, F.col("cosine").desc(), F.col("doc"), k=k)
 
 
+def int8_index(vectors: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """((doc, code), least, step): unit vectors as one byte per dimension, 255 steps between the dimension's least and greatest.
+
+    The codes are a table of their own, a quarter of float vectors; bounds are two numbers per dimension.
+    """
+    unit = F.transform("v", lambda x: x.cast("double") / F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
+    rows = vectors.filter((F.size("v") > 0) & F.exists("v", lambda x: x != 0)).select("doc", unit.alias("u"))
+    seen = rows.select(F.posexplode("u").alias("i", "x")).groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i").collect()  # one row per dimension
+    low = np.array([r["lo"] for r in seen])
+    step = np.array([max(r["hi"] - r["lo"], 1e-12) for r in seen]) / 255
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.array([np.asarray(u, float) for u in pdf["u"]])
+                yield pd.DataFrame({"doc": pdf["doc"], "code": [c.tobytes() for c in np.clip(np.rint((x - low) / step), 0, 255).astype(np.uint8)]})
+
+    return materialize(rows.mapInPandas(code, "doc long, code binary"), "int8"), low, step
+
+
+def int8_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, oversample: int = 4, block: int = 4096) -> DataFrame:
+    """(q, doc, cosine, rank): nearest by the codes of int8_index alone, the best k * oversample scored by their vectors.
+
+    A query turns into one weight per dimension and one offset, so a code is scored without being decoded.
+    """
+    spark = vectors.sparkSession
+    codes, low, step = int8_index(vectors)
+
+    def scan(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, weight, offset = shared.value
+            for pdf in batches:
+                if len(pdf):
+                    c = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1).astype(np.float32)
+                    score = np.round((weight @ c.T).astype(float) + offset[:, None], 6)
+                    doc = pdf["doc"].to_numpy()
+                    row, col = _first(score, doc, k * oversample)
+                    yield pd.DataFrame({"q": ids[row], "doc": doc[col], "score": score[row, col]})
+
+        return run
+
+    out = None
+    for asked in _blocks(queries, block):
+        m = _matrix(asked)
+        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+        model = spark.sparkContext.broadcast((asked["q"].to_numpy(), (m * step).astype(np.float32), m @ low))
+        part = codes.mapInPandas(scan(model), "q long, doc long, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "q long, doc long, cosine double, rank long")
+    return _rescored(ranked(out, F.col("score").desc(), F.col("doc"), k=k * oversample).select("q", "doc"), vectors, queries, k)
+
+
+def binary_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, oversample: int = 8, block: int = 4096) -> DataFrame:
+    """(q, doc, cosine, rank): nearest by the number of dimensions of equal sign, the best k * oversample scored by their vectors.
+
+    A code has one bit per dimension (greater than 0 or not); ties of the Hamming distance go by document.
+    """
+    spark = vectors.sparkSession
+    packed = lambda x: np.packbits(x > 0, axis=1)
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"doc": pdf["doc"], "code": [c.tobytes() for c in packed(_matrix(pdf))]})
+
+    rows = vectors.filter((F.size("v") > 0) & F.exists("v", lambda x: x != 0))
+    codes = materialize(rows.select("doc", "v").mapInPandas(code, "doc long, code binary"), "bits")
+
+    def scan(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, own = shared.value
+            for pdf in batches:
+                if len(pdf):
+                    c = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1)
+                    doc = pdf["doc"].to_numpy()
+                    for lo in range(0, len(ids), 256):
+                        apart = np.zeros((len(own[lo : lo + 256]), len(c)), np.int32)
+                        for byte in range(c.shape[1]):
+                            apart += np.bitwise_count(own[lo : lo + 256, byte, None] ^ c[None, :, byte])
+                        row, col = _first(-apart.astype(float), doc, k * oversample)
+                        yield pd.DataFrame({"q": ids[lo : lo + 256][row], "doc": doc[col], "apart": apart[row, col].astype(np.int64)})
+
+        return run
+
+    out = None
+    for asked in _blocks(queries, block):
+        model = spark.sparkContext.broadcast((asked["q"].to_numpy(), packed(_matrix(asked))))
+        part = codes.mapInPandas(scan(model), "q long, doc long, apart long")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "q long, doc long, cosine double, rank long")
+    return _rescored(ranked(out, F.col("apart"), F.col("doc"), k=k * oversample).select("q", "doc"), vectors, queries, k)
+
+
+def vector_lane(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """(q, doc, score, rank, distance): the nearest vectors as a lane."""
+    near = dense_topk(vectors, queries, k)
+    return near.select("q", "doc", F.col("cosine").alias("score"), "rank", F.round(1 - F.col("cosine"), 6).alias("distance"))
+
+
 def expand_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """(q, chunk, score): each hit's parent in its place where there is one, else itself; the best child counts.
 

@@ -30,9 +30,19 @@ def _lanes(spark: SparkSession, d: str) -> DataFrame:
     return R.lanes(_docs(spark, d), _queries(spark, d))
 
 
+def _chunk_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, v, tenant) of the chunks and (q, v, tenant) of the questions: the vector of a row is that of its number."""
+    rows = table(spark, d, CHUNKS).select("row_no", "normalized_question", F.coalesce(F.nullif(F.trim("tenant_id"), F.lit("")), F.lit("default")).alias("tenant"))
+    both = rows.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("row_no"), F.col("embedding").alias("v")), "row_no")
+    asked = both.filter("row_no % 20 = 0 and normalized_question is not null")
+    return both.select(F.col("row_no").alias("doc"), "v", "tenant"), asked.select(F.col("row_no").alias("q"), "v", "tenant")
+
+
 def _named(spark: SparkSession, d: str) -> DataFrame:
     s = materialize(_lanes(spark, d), "lanes")
-    return R.union_lanes({"dense": R.dense_lane(s), "keyword": R.keyword_lane(s), "exact": R.exact_lane(s)})
+    vectors, asked = _chunk_vectors(spark, d)
+    dense = R.vector_lane(vectors.drop("tenant"), asked.drop("tenant"))
+    return materialize(R.union_lanes({"dense": dense, "keyword": R.keyword_lane(s), "exact": R.exact_lane(s)}), "named")
 
 
 def r1_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -110,14 +120,27 @@ def r23_best_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r28_suggest(spark: SparkSession, d: str) -> DataFrame:
-    """Suggestions for the first eight characters of each query: prefix before inside, question before alias, shorter first."""
-    asked = table(spark, d, CASES).filter("row_no % 20 = 0").select(F.col("row_no").alias("q"), F.substring(X.index_form(F.col("query")), 1, 8).alias("p")).filter("length(p) = 8")
+    """Suggestions for whole typed texts, the first halves of queries: prefix before inside, question before alias, shorter first.
+
+    A text that holds the typed one holds its first characters, up to eight: windows of that length are joined on, the
+    rest is compared directly.  Empty typed texts suggest nothing.
+    """
+    asked = table(spark, d, CASES).filter("row_no % 20 = 0").select(F.col("row_no").alias("q"), X.index_form(F.col("query")).alias("f"))
+    asked = asked.select("q", F.substring("f", F.lit(1), F.ceil(F.length("f") / 2).cast("int")).alias("p")).filter("p <> ''")
+    asked = materialize(asked.withColumn("head", F.substring("p", 1, 8)), "typed")
     qa = table(spark, d, "approved_qa_alias_fixture")
     texts = qa.select("row_no", X.index_form(F.col("question")).alias("t"), F.lit(0).alias("alias")).unionByName(qa.select("row_no", F.explode("approved_aliases").alias("t"), F.lit(1).alias("alias")).withColumn("t", X.index_form(F.col("t"))))
-    texts = texts.filter("length(t) >= 8")
-    windows = texts.withColumn("w", F.explode(F.array_distinct(X.let(F.col("t"), lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 7), lambda i: F.substring(t, i, F.lit(8)))))))
-    hit = windows.join(asked, F.col("w") == F.col("p")).select("q", "row_no", "alias", F.when(F.startswith("t", F.col("p")), 0).otherwise(1).alias("inside"), F.length("t").alias("n"))
-    one = R.first_by_key(hit, ["q", "row_no"], F.col("inside"), F.col("alias"), F.col("n"))
+    texts = materialize(texts.filter("t <> ''"), "suggested")
+    window = lambda n: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring(F.col("t"), i, F.lit(n)))))
+    hits = None
+    for n in [r["n"] for r in asked.select(F.length("head").alias("n")).distinct().collect()]:  # at most eight lengths
+        some = asked.filter(F.length("head") == n)
+        part = texts.filter(F.length("t") >= n).withColumn("w", window(n)).join(some, F.col("w") == F.col("head")).filter(F.contains("t", F.col("p")))
+        part = part.select("q", "row_no", "alias", F.when(F.startswith("t", F.col("p")), 0).otherwise(1).alias("inside"), F.length("t").alias("n"))
+        hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        return spark.createDataFrame([], "q long, row_no long, rank long")
+    one = R.first_by_key(hits, ["q", "row_no"], F.col("inside"), F.col("alias"), F.col("n"))
     return R.ranked(one, F.col("inside"), F.col("alias"), F.col("n"), F.col("row_no"), k=5).select("q", "row_no", "rank")
 
 
@@ -134,6 +157,21 @@ def r31_int8_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.int8_topk(*_vectors(spark, d), 10)
 
 
+def r31_binary_topk(spark: SparkSession, d: str) -> DataFrame:
+    return R.binary_topk(*_vectors(spark, d), 10)
+
+
+def r31_truncated_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest by the first half of the dimensions."""
+    vectors, asked = _vectors(spark, d)
+    return R.dense_topk(vectors.withColumn("v", F.slice("v", 1, 32)), asked.withColumn("v", F.slice("v", 1, 32)), 10)
+
+
+def r2_tenant_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest chunks of the question's own tenant."""
+    return R.dense_topk(*_chunk_vectors(spark, d), 10)
+
+
 def m7_int8_recall(spark: SparkSession, d: str) -> DataFrame:
     exact, rough = r2_dense_topk(spark, d).select("q", "doc"), r31_int8_topk(spark, d).select("q", "doc", F.lit(1).alias("hit"))
     return exact.join(rough, ["q", "doc"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
@@ -202,7 +240,7 @@ def j12_paired_changes(spark: SparkSession, d: str) -> DataFrame:
     return M.paired_changes(M.at_k(a, q), M.at_k(b, q), "mrr")
 
 
-QUERIES = {f.__name__: f for f in (r1_bm25_topk, r2_dense_topk, r3_keyword_rank, r5_exact_lane, r6_rrf, r7_dbsf, r8_hybrid_topk, r9_routed_weights, r10_query_types, r17_multi_query, r18_union_first, r19_page_diversity, r20_context_cut, r23_best_sentences, r28_suggest, r31_int8_topk, m7_int8_recall, c16_newest_by_id, j3_parent_expand, j4_neighbours, m1_credit, m2_metrics, m3_slices, m5_mode_summary, m6_candidate_miss, j12_paired_changes)}
+QUERIES = {f.__name__: f for f in (r1_bm25_topk, r2_dense_topk, r3_keyword_rank, r5_exact_lane, r6_rrf, r7_dbsf, r8_hybrid_topk, r9_routed_weights, r10_query_types, r17_multi_query, r18_union_first, r19_page_diversity, r20_context_cut, r23_best_sentences, r28_suggest, r2_tenant_topk, r31_binary_topk, r31_truncated_topk, r31_int8_topk, m7_int8_recall, c16_newest_by_id, j3_parent_expand, j4_neighbours, m1_credit, m2_metrics, m3_slices, m5_mode_summary, m6_candidate_miss, j12_paired_changes)}
 
 # ------------------------------------------------------------------------------------------------------------- SQL
 
@@ -219,8 +257,11 @@ post_{name} AS (SELECT doc, len(t) AS n, unnest(t) AS term FROM docs_{name}), df
 _L = "WITH " + _lanes_sql()
 _KEYWORD = "SELECT q, doc, bm25 AS score, rank, round(least(0.25 + 0.02 * (rank - 1), 0.95), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY exact > 0 DESC, exact DESC, bm25 DESC, doc) AS rank FROM lanes) WHERE rank <= 20"
 _EXACT = "SELECT q, doc, CAST(exact AS DOUBLE) AS score, rank, 0.25 AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY exact DESC, bm25 DESC, doc) AS rank FROM lanes WHERE exact > 0) WHERE rank <= 20"
-_DENSE = "SELECT q, doc, cosine AS score, rank, round(1 - cosine, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM lanes WHERE cosine > 0) WHERE rank <= 20"
-_N = f"{_L}, named AS (SELECT *, 'dense' AS lane FROM ({_DENSE}) UNION ALL SELECT *, 'keyword' FROM ({_KEYWORD}) UNION ALL SELECT *, 'exact' FROM ({_EXACT}))"
+_COSINE = lambda a, b: f"round(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[])) * list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))), 6)"
+_TENANT = "coalesce(nullif(trim(tenant_id), ''), 'default')"
+_CHUNK_SIMS = f"cv AS (SELECT row_no, normalized_question, {_TENANT} AS tenant, embedding AS v FROM manufacturing_chunks JOIN embeddings ON vec_id = row_no), csims AS (SELECT a.row_no AS q, b.row_no AS doc, a.tenant = b.tenant AS own, {_COSINE('a.v', 'b.v')} AS cosine FROM cv a, cv b WHERE a.row_no % 20 = 0 AND a.normalized_question IS NOT NULL)"
+_DENSE = "SELECT q, doc, cosine AS score, rank, round(1 - cosine, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM csims) WHERE rank <= 20"
+_N = f"{_L}, {_CHUNK_SIMS}, named AS (SELECT *, 'dense' AS lane FROM ({_DENSE}) UNION ALL SELECT *, 'keyword' FROM ({_KEYWORD}) UNION ALL SELECT *, 'exact' FROM ({_EXACT}))"
 _TOPK = "SELECT q, doc, fused, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY fused DESC, doc) AS rank FROM fused) WHERE rank <= 10"
 _KIND = r"""CASE WHEN trim(query) = '' THEN 'other' WHEN regexp_matches(query, '[「『"“][^」』"”]+[」』"”]') THEN 'exact_lookup' WHEN regexp_matches(query, '[A-Za-z]+-?[0-9]{2,}|[0-9]+[A-Z][0-9]*-[A-Z0-9]+') THEN 'identifier'
 WHEN regexp_matches(query, 'とは[？?。]?$|^what is ') THEN 'exact_lookup' WHEN regexp_matches(query, '手順|方法|やり方|手続き|how (do|should|to)') THEN 'procedure' WHEN regexp_matches(query, '[？?]$') THEN 'faq' WHEN length(query) <= 8 THEN 'ambiguous' WHEN length(query) >= 18 THEN 'broad' ELSE 'other' END"""
@@ -247,6 +288,9 @@ _NEWEST = "newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i
 SQL = {
     "r1_bm25_topk": f"{_L} SELECT q, doc, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY bm25 DESC, doc) AS rank FROM lanes) WHERE rank <= 10",
     "r2_dense_topk": f"WITH {_SIM} SELECT q, doc, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM sims) WHERE rank <= 10",
+    "r2_tenant_topk": f"WITH {_CHUNK_SIMS} SELECT q, doc, cosine, rank FROM (SELECT q, doc, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM csims WHERE own) WHERE rank <= 10",
+    "r31_truncated_topk": f"WITH s AS (SELECT a.vec_id AS q, b.vec_id AS doc, {_COSINE('a.embedding[1:32]', 'b.embedding[1:32]')} AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) SELECT q, doc, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM s) WHERE rank <= 10",
+    "r31_binary_topk": f"WITH s AS (SELECT a.vec_id AS q, b.vec_id AS doc, {_COSINE('a.embedding', 'b.embedding')} AS cosine, len(list_filter(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i] > 0) <> (b.embedding[i] > 0))) AS apart FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY apart, doc) AS r FROM s) SELECT q, doc, cosine, rank FROM (SELECT q, doc, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM r WHERE r <= 80) WHERE rank <= 10",
     "r3_keyword_rank": f"{_L} {_KEYWORD}",
     "r5_exact_lane": f"{_L} SELECT q, doc, score, rank FROM ({_EXACT})",
     "r6_rrf": f"{_N}, fused AS (SELECT q, doc, round(sum(CASE WHEN lane = 'exact' THEN 1.5 ELSE 1.0 END::DOUBLE / (60 + rank)), 9) AS fused FROM named GROUP BY 1, 2) {_TOPK}",
@@ -263,8 +307,8 @@ SELECT q, doc, fused, CASE WHEN dense_in = 0 AND best IS NOT NULL AND rank = bes
     "r23_best_sentences": f"""{_L}, {_TOP(1)}, s AS (SELECT row_no AS doc, string_split_regex(text, '[。.!?！？\\n]+') AS l FROM manufacturing_chunks), e AS (SELECT doc, unnest(l) AS s, unnest(range(0, len(l))) AS pos FROM s),
 f AS (SELECT q, doc, pos, 10 * len(list_filter(t, lambda x: contains({INDEX('s')}, x))) - CASE WHEN length(s) > 120 THEN 2 ELSE 0 END AS score FROM top JOIN e USING (doc) JOIN qs_lanes USING (q) WHERE length(s) > 0)
 SELECT q, doc, pos, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, pos) AS rank FROM f WHERE score > 0) WHERE rank <= 3""",
-    "r28_suggest": f"""WITH a AS (SELECT row_no AS q, substr({INDEX('query')}, 1, 8) AS p FROM semantic_challenge_v2_cases WHERE row_no % 20 = 0), t AS (SELECT row_no, {INDEX('question')} AS t, 0 AS alias FROM approved_qa_alias_fixture UNION ALL SELECT row_no, {INDEX('x')}, 1 FROM (SELECT row_no, unnest(approved_aliases) AS x FROM approved_qa_alias_fixture)),
-h AS (SELECT q, row_no, alias, CASE WHEN starts_with(t, p) THEN 0 ELSE 1 END AS inside, length(t) AS n FROM a JOIN t ON contains(t, p) WHERE length(p) = 8 AND length(t) >= 8), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, row_no ORDER BY inside, alias, n) AS r FROM h) WHERE r = 1)
+    "r28_suggest": f"""WITH f AS (SELECT row_no AS q, {INDEX('query')} AS f FROM semantic_challenge_v2_cases WHERE row_no % 20 = 0), a AS (SELECT q, substr(f, 1, CAST(ceil(length(f) / 2.0) AS BIGINT)) AS p FROM f), t AS (SELECT row_no, {INDEX('question')} AS t, 0 AS alias FROM approved_qa_alias_fixture UNION ALL SELECT row_no, {INDEX('x')}, 1 FROM (SELECT row_no, unnest(approved_aliases) AS x FROM approved_qa_alias_fixture)),
+h AS (SELECT q, row_no, alias, CASE WHEN starts_with(t, p) THEN 0 ELSE 1 END AS inside, length(t) AS n FROM a JOIN t ON contains(t, p) WHERE p <> '' AND t <> ''), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q, row_no ORDER BY inside, alias, n) AS r FROM h) WHERE r = 1)
 SELECT q, row_no, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY inside, alias, n, row_no) AS rank FROM o) WHERE rank <= 5""",
     "c16_newest_by_id": f"WITH {_NEWEST} SELECT id, row_no FROM newest",
     "j3_parent_expand": f"WITH {_NEWEST}, h AS (SELECT row_no % 50 AS q, id AS chunk, parent_chunk_id AS parent, round(chunk_index * 0.01, 6)::DOUBLE AS score FROM newest) SELECT q, coalesce(p.id, chunk) AS chunk, min(score) AS score FROM h LEFT JOIN newest p ON h.parent = p.id GROUP BY 1, 2",
