@@ -126,3 +126,18 @@ def fixed_windows(c: Column, size: int, overlap: int) -> Column:
     n = F.when(F.length(c) == 0, 0).when(F.length(c) <= size, 1).otherwise(F.ceil((F.length(c) - overlap) / step)).cast("int")
     piece = lambda i: F.struct(i.alias("no"), (i * step).alias("start"), F.substring(c, i * step + 1, F.lit(size)).alias("piece"))
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), piece)).when(c.isNotNull(), F.array().cast("array<struct<no:int,start:int,piece:string>>"))
+
+
+# Words that say nothing by themselves.
+STOP_TERMS = ("です", "ます", "ください", "下さい", "何で", "何です", "原因", "概要", "説明", "ある", "いる", "する", "なる", "できる", "思う", "言う", "こと", "もの", "とき", "ため", "よう", "これ", "それ", "あれ", "どれ", "ここ", "そこ", "どこ")
+CONTENT = rf"{CODE}|[{KATAKANA}]{{2,}}|[{KANJI}]{{2,}}"
+
+
+def content_terms(c: Column) -> Column:
+    """Codes and words, katakana and kanji runs of the index form, in order, distinct, without stop terms."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(index_form(c), F.lit(CONTENT), F.lit(0)), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_TERMS)))
+
+
+def match_words(c: Column) -> Column:
+    """The words of the index form with punctuation of any kind as white space."""
+    return F.filter(F.split(F.regexp_replace(index_form(c), r"[\p{P}\p{S} \t\n\r]+", " "), " "), lambda t: t != "")

@@ -102,9 +102,9 @@ def availability(probes: DataFrame, key: str, at: str, ok: Column, tie: str, max
 
 def held_intervals(probes: DataFrame, key: str, at: str, ok: Column, tie: str, max_gap: int = 300) -> DataFrame:
     """(key, start, end, ok): each probe holds until the next one of its key, at most max_gap seconds; the last one holds for nothing."""
-    rows = by_day(probes.select(key, at, tie, ok.alias("ok")), key, at, tie)
+    rows = by_day(probes.select(key, at, tie, ok.alias("ok")), key, at, tie).filter("next_at is not null")
     end = F.least("next_at", F.col(at) + F.make_dt_interval(secs=F.lit(max_gap)))
-    return rows.select(key, F.col(at).alias("start"), end.alias("end"), "ok").filter("end is not null")
+    return rows.select(key, F.col(at).alias("start"), end.alias("end"), "ok")
 
 
 def chain_breaks(ledger: DataFrame, key: str, order: list[str], digest: str, previous: str) -> DataFrame:

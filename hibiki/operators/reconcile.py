@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import materialize
 
 
 def newest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -43,15 +44,27 @@ def lookup(asked: DataFrame, q: str, text: str, known: DataFrame, key: str, text
 def nearest_by_bigrams(asked: DataFrame, known: DataFrame, q: str, key: str, text: str, least: float) -> DataFrame:
     """(q, key, jaccard): the known text whose bigram set is nearest to the asked one, if at least *least*; ties by key.
 
-    asked, a stated query set, has q and text; known has key and text.  Only grams that are asked leave the scan, and
-    a set must share enough of them: |A and B| >= least * max(|A|, |B|) is needed, so lengths prune before the join.
+    asked, a stated query set, has q and text; known has key and text.  Two sets that similar share one of the rarest
+    size - ceil(least * size) + 1 grams of each (prefix filter), so only those are joined, and grams that most texts hold
+    meet nobody; sizes prune as well, and the candidates are compared by their whole sets.
     """
     grams = lambda c: F.array_distinct(X.let(X.strong_key(c), X.char_bigrams))
-    a = asked.select(q, grams(F.col(text)).alias("g")).select(q, F.size("g").alias("na"), F.explode("g").alias("g"))
-    b = known.select(key, grams(F.col(text)).alias("h")).select(key, F.size("h").alias("nb"), F.explode("h").alias("g"))
-    pairs = a.join(b, "g").filter((F.col("nb") >= least * F.col("na")) & (F.col("na") >= least * F.col("nb")))
-    scored = pairs.groupBy(q, key, "na", "nb").agg(F.count("*").alias("n"))
-    scored = scored.select(q, key, F.round(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), 6).alias("jaccard")).filter(F.col("jaccard") >= least)
+    a = materialize(asked.select(F.col(q).alias("__q"), grams(F.col(text)).alias("g")).filter(F.size("g") > 0), "asked-grams")
+    b = materialize(known.select(F.col(key).alias("__k"), grams(F.col(text)).alias("h")).filter(F.size("h") > 0), "known-grams")
+    df = b.select(F.explode("h").alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
+    df = materialize(df, "gram-df")
+
+    def rarest(rows: DataFrame, own: str, sets: str) -> DataFrame:
+        n = F.size(sets)
+        one = rows.select(own, n.alias("n"), F.explode(sets).alias("gram")).join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+        placed = one.withColumn("r", F.row_number().over(W.partitionBy(own).orderBy("df", "gram")))
+        return placed.filter(F.col("r") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select(own, "n", "gram")
+
+    x, y = rarest(a, "__q", "g").withColumnRenamed("n", "na"), rarest(b, "__k", "h").withColumnRenamed("n", "nb")
+    pairs = x.join(y, "gram").filter((F.col("nb") >= least * F.col("na")) & (F.col("na") >= least * F.col("nb"))).select("__q", "__k").distinct()
+    both = pairs.join(a, "__q").join(b, "__k")
+    common = F.size(F.array_intersect("g", "h"))
+    scored = both.select(F.col("__q").alias(q), F.col("__k").alias(key), F.round(common / (F.size("g") + F.size("h") - common), 6).alias("jaccard")).filter(F.col("jaccard") >= least)
     return newest(scored, [q], F.col("jaccard").desc(), F.col(key))
 
 

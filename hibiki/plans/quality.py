@@ -36,9 +36,11 @@ def r27_feedback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j2_near_match(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "approved_qa_submissions").select(F.col("submission_id").alias("q"), F.get_json_object("payload", "$.question").alias("t")).filter("t is not null")
-    known = table(spark, d, "approved_qa_alias_fixture").select(F.col("row_no").alias("key"), F.col("question").alias("t"))
-    return K.near_matches(asked, known, "q", "key", "t")
+    """Questions of rows divisible by 20 without their last tenth against all approved questions."""
+    qa = table(spark, d, "approved_qa_alias_fixture").select("row_no", "question")
+    cut = F.substring("question", F.lit(1), F.floor(F.length("question") * 0.9).cast("int"))
+    asked = qa.filter("row_no % 20 = 0").select(F.col("row_no").alias("q"), cut.alias("t"))
+    return K.near_matches(asked, qa.select(F.col("row_no").alias("key"), F.col("question").alias("t")), "q", "key", "t")
 
 
 def c15_merged_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -121,13 +123,16 @@ def f6_record_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ss8_probe_notices(spark: SparkSession, d: str) -> DataFrame:
-    """Per tenant: runs of failures announced at the second failure, with their length and whether they ended."""
+    """Per tenant: runs of failures announced at the second failure, with their length."""
+    from pyspark.sql import Window as W
+
     from ..operators.logs import islands
     from .operations import _calls
 
     runs = islands(_calls(spark, d), "tenant", ["ts", "event_id"], F.col("event_type") == "error")
-    per = runs.groupBy("tenant", "island").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("at"))
-    return per.filter("n >= 2").select("tenant", "island", "n", F.col("at")[1]["event_id"].alias("announced_at"))
+    numbered = runs.withColumn("k", F.row_number().over(W.partitionBy("tenant", "island").orderBy("ts", "event_id")))
+    per = numbered.groupBy("tenant", "island").agg(F.count("*").alias("n"), F.max(F.when(F.col("k") == 2, F.col("event_id"))).alias("announced_at"))
+    return per.filter("n >= 2")
 
 
 def r2_by_label(spark: SparkSession, d: str) -> DataFrame:
@@ -148,12 +153,20 @@ _SK = lambda c: f"regexp_replace({INDEX(c)}, '{X.PUNCT}', '', 'g')"  # noqa: E73
 _NUMS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]*[0-9][a-z0-9._:-]*[a-z0-9]|[0-9]'))"
 _F8 = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(query, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{k}'" for k, ws in _WORDS.items()) + " ELSE 'other' END"
 _PICK = "CAST('0x' || substr(md5(case_id), 1, 8) AS BIGINT) % 4"
+def _drift_sql() -> str:
+    from .stats import SQL as stats_sql
+
+    verdict = "CASE WHEN psi >= 0.25 OR d >= 0.2 THEN 'alert' WHEN psi >= 0.1 OR d >= 0.1 THEN 'warn' ELSE 'ok' END AS verdict"
+    return f"SELECT psi, d, {verdict} FROM ({stats_sql['st8_psi']}), (SELECT d FROM ({stats_sql['st9_ks']}))"
+
+
 SQL = {
+    "st14_drift": _drift_sql(),
     "r2_by_label": f"WITH {P._SIM}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM sims) WHERE rank <= 10 AND q <> doc) SELECT a.label AS ql, count(*) AS n, count(*) FILTER (a.label = b.label) AS same FROM t JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = doc GROUP BY 1",
     "r12_keyword_score": f"{_KW} SELECT q, doc, rank, score FROM kw",
     "r13_keyword_boost": f"{_KW}, m AS (SELECT *, least(0.05 * score, 0.05) AS b FROM kw) SELECT q, doc, rank, row_number() OVER (PARTITION BY q ORDER BY greatest(rank - CASE WHEN b > 0 THEN 1 ELSE 0 END, 1), b DESC, rank) AS new_rank FROM m",
     "r27_feedback": "WITH s AS (SELECT unnest(gold_chunk_ids) AS id, 0.03 AS w FROM semantic_challenge_v2_cases UNION ALL SELECT unnest(distractor_chunk_ids), -0.06 FROM semantic_challenge_v2_cases) SELECT id, count(*) AS n, round(greatest(least(sum(w::DOUBLE), 0.05), -0.10), 6)::DOUBLE AS adjustment FROM s WHERE id IS NOT NULL GROUP BY 1",
-    "j2_near_match": f"WITH a AS (SELECT submission_id AS q, {_SK('t')} AS a FROM (SELECT submission_id, TRY_CAST(payload AS JSON)->>'$.question' AS t FROM approved_qa_submissions WHERE json_valid(payload)) WHERE t IS NOT NULL), b AS (SELECT row_no AS key, {_SK('question')} AS b FROM approved_qa_alias_fixture) SELECT DISTINCT q, key FROM a, b WHERE length(a) >= 18 AND length(b) >= 18 AND least(length(a), length(b)) >= 0.8 * greatest(length(a), length(b)) AND (contains(a, b) OR contains(b, a))",
+    "j2_near_match": f"WITH a AS (SELECT row_no AS q, {_SK('substr(question, 1, CAST(floor(length(question) * 0.9) AS BIGINT))')} AS a FROM approved_qa_alias_fixture WHERE row_no % 20 = 0), b AS (SELECT row_no AS key, {_SK('question')} AS b FROM approved_qa_alias_fixture) SELECT DISTINCT q, key FROM a, b WHERE length(a) >= 18 AND length(b) >= 18 AND least(length(a), length(b)) >= 0.8 * greatest(length(a), length(b)) AND (contains(a, b) OR contains(b, a))",
     "x1_unsupported_claims": f"WITH r AS (SELECT row_no, {_NUMS('approved_answer')} AS a, coalesce({_NUMS('question_text')}, []) AS b FROM manufacturing_chunks WHERE approved_answer IS NOT NULL) SELECT row_no, unnest(list_filter(a, lambda x: NOT list_contains(b, x))) AS term FROM r",
     "m12_rater_agreement": "WITH v AS (SELECT doc_id, rater, toxic AS v, sum(toxic) OVER (PARTITION BY doc_id) AS s, count(*) OVER (PARTITION BY doc_id) AS n FROM document_labels WHERE toxic IS NOT NULL), o AS (SELECT rater, v, 2 * (s - v) - (n - 1) AS lean FROM v WHERE 2 * (s - v) <> n - 1), c AS (SELECT rater, count(*) AS n, count(*) FILTER (v = 1 AND lean > 0) AS tp, count(*) FILTER (v = 1 AND lean < 0) AS fp, count(*) FILTER (v = 0 AND lean > 0) AS fn, count(*) FILTER (v = 0 AND lean < 0) AS tn FROM o GROUP BY 1), k AS (SELECT *, (tp + tn) / n AS seen, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n) AS chance FROM c) SELECT rater, n, tp, fp, fn, tn, CASE WHEN chance < 1 THEN round((seen - chance) / (1 - chance), 6) ELSE 1.0 END AS kappa FROM k",
     "m8_regression_gate": f"{P._ME}, s AS (SELECT 'bm25' AS mode, * FROM met_a UNION ALL SELECT 'cosine', * FROM met_b), u AS (" + " UNION ALL ".join(f"SELECT mode, '{m}' AS metric, round(avg({m}), 6) AS value FROM s GROUP BY 1" for m in ("hit", "recall", "mrr", "ndcg")) + ") SELECT metric, max(CASE WHEN mode = 'bm25' THEN value END) AS baseline, max(CASE WHEN mode = 'cosine' THEN value END) AS value, max(CASE WHEN mode = 'cosine' THEN value END) < max(CASE WHEN mode = 'bm25' THEN value END) - 0.02 AS worse FROM u GROUP BY 1",

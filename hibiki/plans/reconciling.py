@@ -16,9 +16,12 @@ _HEADING = r"^(第[0-9]+章|■|【|[0-9]+\.[0-9]+ |Chapter [0-9]+|NOTE -)"
 
 
 def j1_approved_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Every submitted question against the approved ones by strong key, then aliases."""
-    asked = table(spark, d, "approved_qa_submissions").select("submission_id", F.get_json_object("payload", "$.question").alias("t")).filter("t is not null")
-    return C.lookup(asked, "submission_id", "t", table(spark, d, "approved_qa_alias_fixture"), "row_no", "question", "approved_aliases")
+    """Questions in wide letters, of rows divisible by 20, and the aliases of the rows after them, against all approved answers by strong key."""
+    qa = table(spark, d, "approved_qa_alias_fixture")
+    wide = F.translate("question", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ?", "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ？")
+    asked = qa.filter("row_no % 20 = 0").select((F.col("row_no") * 100).alias("q"), wide.alias("t"))
+    alias = qa.filter("row_no % 20 = 1").select("row_no", F.posexplode("approved_aliases").alias("i", "t")).select((F.col("row_no") * 100 + F.col("i") + 1).alias("q"), "t")
+    return C.lookup(asked.unionByName(alias).filter("t is not null"), "q", "t", qa, "row_no", "question", "approved_aliases")
 
 
 def j7_manifest_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -166,9 +169,10 @@ _GRAMS = lambda c: f"list_distinct(list_transform(range(1, length({_STRONG(c)}))
 _LINES = "list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)"
 _MERGED = lambda t: f"SELECT '{t}' AS src_table, id, row_no FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, row_no) AS r FROM {t}) LEFT JOIN (SELECT target_key, max(deleted_at) AS deleted_at FROM index_tombstones WHERE target_table = '{t}' GROUP BY 1) ON id = target_key WHERE r = 1 AND (deleted_at IS NULL OR deleted_at < updated_at)"
 SQL = {
-    "j1_approved_lookup": f"""WITH a AS (SELECT submission_id, {_STRONG('t')} AS k FROM (SELECT submission_id, TRY_CAST(payload AS JSON)->>'$.question' AS t FROM approved_qa_submissions WHERE json_valid(payload)) WHERE t IS NOT NULL),
+    "j1_approved_lookup": f"""WITH a AS (SELECT q, {_STRONG('t')} AS k FROM (SELECT row_no * 100 AS q, translate(question, '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ?', '０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ？') AS t FROM approved_qa_alias_fixture WHERE row_no % 20 = 0
+UNION ALL SELECT row_no * 100 + i, approved_aliases[i] FROM (SELECT row_no, approved_aliases, unnest(range(1, len(approved_aliases) + 1)) AS i FROM approved_qa_alias_fixture WHERE row_no % 20 = 1)) WHERE t IS NOT NULL),
 k AS (SELECT row_no, {_STRONG('question')} AS k, 0 AS how FROM approved_qa_alias_fixture UNION ALL SELECT row_no, {_STRONG('x')}, 1 FROM (SELECT row_no, unnest(approved_aliases) AS x FROM approved_qa_alias_fixture)),
-b AS (SELECT k, arg_min(row_no, (how, row_no)) AS row_no, min(how) AS how FROM k WHERE k <> '' GROUP BY 1) SELECT submission_id, row_no, CASE how WHEN 0 THEN 'question' ELSE 'alias' END AS how FROM a JOIN b USING (k)""",
+b AS (SELECT k, arg_min(row_no, (how, row_no)) AS row_no, min(how) AS how FROM k WHERE k <> '' GROUP BY 1) SELECT q, row_no, CASE how WHEN 0 THEN 'question' ELSE 'alias' END AS how FROM a JOIN b USING (k)""",
     "j7_manifest_diff": f"{_DIFF} SELECT * FROM ch",
     "j8_alignment": "WITH a AS (SELECT DISTINCT source_doc FROM semantic_challenge_v2_chunks WHERE source_doc IS NOT NULL), b AS (SELECT DISTINCT source_doc FROM source_manifest WHERE source_doc IS NOT NULL), j AS (SELECT count(*) FILTER (a.source_doc IS NOT NULL AND b.source_doc IS NOT NULL) AS \"both\", count(*) FILTER (b.source_doc IS NULL) AS only_a, count(*) FILTER (a.source_doc IS NULL) AS only_b FROM a FULL JOIN b ON a.source_doc = b.source_doc) SELECT *, round(\"both\" / (\"both\" + only_a + only_b), 6) AS jaccard FROM j",
     "j9_consistency": "SELECT source_doc, count(*) AS chunks, count(*) FILTER (source_doc NOT IN (SELECT source_doc FROM source_manifest WHERE source_doc IS NOT NULL) OR source_doc IS NULL) AS unknown, count(*) FILTER (coalesce(searchable, 1) = 0) AS hidden FROM semantic_challenge_v2_chunks GROUP BY 1 HAVING unknown > 0 OR hidden > 0",

@@ -77,6 +77,21 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").json(path)
 
 
+def write_days(lines: DataFrame, root: str, day: str, line: str) -> None:
+    """Append-only day files: the text column *line* under root/dt=<day>."""
+    lines.select(F.col(day).cast("string").alias("dt"), F.col(line).alias("value")).write.mode("append").partitionBy("dt").text(root)
+
+
+def read_days(spark: SparkSession, root: str, schema: T.StructType, last: str, days: int) -> DataFrame:
+    """The rows of the *days* days up to *last*, with dt and malformed: other days' files are not opened."""
+    if days < 1:
+        raise ValueError("at least one day")
+    full = T.StructType([*schema.fields, T.StructField("malformed", T.StringType()), T.StructField("dt", T.DateType())])
+    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").json(root)
+    end = F.lit(last).cast("date")
+    return rows.filter((F.col("dt") > F.date_sub(end, days)) & (F.col("dt") <= end))
+
+
 def read_chunks(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A JSON lines corpus: unreadable lines and rows without text are left out."""
     rows = read_log(spark, path, schema)
