@@ -223,3 +223,31 @@ def test_every_query_runs(spark, data):
     for name, f in queries.QUERIES.items():
         df = f(spark, data)
         assert df.columns and df.count() >= 0, name
+
+
+def test_queries_equal_sql(spark, data):
+    """Every query of the folder that SQL can say, against DuckDB on whole tables."""
+    duckdb = pytest.importorskip("duckdb")
+    import glob
+    import os
+
+    from hibiki.llm import sql
+
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    for f in glob.glob(f"{data}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM read_parquet('{f}')")
+    for name, text in sql.SQL.items():
+        mine = queries.QUERIES[name](spark, data)
+        names = sorted(mine.columns)
+        rows = sorted(map(tuple, mine.select(names).collect()), key=repr)
+        theirs = con.execute(f"SELECT {', '.join(names)} FROM ({text})").fetchall()
+        assert rows == sorted(theirs, key=repr) and rows, name
+
+
+def test_pairs_of_hot_texts_come_from_bounded_chunks(spark):
+    rows = [("t", i, "ABC") for i in range(60)] + [("t", 100 + i, "ＡＢＣ") for i in range(40)] + [("t", 900, None)]
+    df = spark.createDataFrame(rows, "src string, row long, v string")
+    for chunk in (7, 2_000):
+        got = [tuple(r) for r in lookalike.alike_pairs(df, ["src"], "row", "v", chunk_rows=chunk).collect()]
+        assert len(got) == len(set(got)) == 2400 and all(a < 100 <= b for _, a, b in got)
