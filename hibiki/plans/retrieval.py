@@ -177,6 +177,11 @@ def m7_int8_recall(spark: SparkSession, d: str) -> DataFrame:
     return exact.join(rough, ["q", "doc"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
 
 
+def m7_binary_recall(spark: SparkSession, d: str) -> DataFrame:
+    exact, rough = r2_dense_topk(spark, d).select("q", "doc"), r31_binary_topk(spark, d).select("q", "doc", F.lit(1).alias("hit"))
+    return exact.join(rough, ["q", "doc"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+
+
 def _one_per_id(spark: SparkSession, d: str) -> DataFrame:
     """The chunks without re-deliveries: of each id the newest version, then the longest text, then the least row (C16)."""
     rows = table(spark, d, "manufacturing_chunks")
@@ -240,7 +245,7 @@ def j12_paired_changes(spark: SparkSession, d: str) -> DataFrame:
     return M.paired_changes(M.at_k(a, q), M.at_k(b, q), "mrr")
 
 
-QUERIES = {f.__name__: f for f in (r1_bm25_topk, r2_dense_topk, r3_keyword_rank, r5_exact_lane, r6_rrf, r7_dbsf, r8_hybrid_topk, r9_routed_weights, r10_query_types, r17_multi_query, r18_union_first, r19_page_diversity, r20_context_cut, r23_best_sentences, r28_suggest, r2_tenant_topk, r31_binary_topk, r31_truncated_topk, r31_int8_topk, m7_int8_recall, c16_newest_by_id, j3_parent_expand, j4_neighbours, m1_credit, m2_metrics, m3_slices, m5_mode_summary, m6_candidate_miss, j12_paired_changes)}
+QUERIES = {f.__name__: f for f in (r1_bm25_topk, r2_dense_topk, r3_keyword_rank, r5_exact_lane, r6_rrf, r7_dbsf, r8_hybrid_topk, r9_routed_weights, r10_query_types, r17_multi_query, r18_union_first, r19_page_diversity, r20_context_cut, r23_best_sentences, r28_suggest, r2_tenant_topk, r31_binary_topk, r31_truncated_topk, r31_int8_topk, m7_int8_recall, m7_binary_recall, c16_newest_by_id, j3_parent_expand, j4_neighbours, m1_credit, m2_metrics, m3_slices, m5_mode_summary, m6_candidate_miss, j12_paired_changes)}
 
 # ------------------------------------------------------------------------------------------------------------- SQL
 
@@ -290,7 +295,7 @@ SQL = {
     "r2_dense_topk": f"WITH {_SIM} SELECT q, doc, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM sims) WHERE rank <= 10",
     "r2_tenant_topk": f"WITH {_CHUNK_SIMS} SELECT q, doc, cosine, rank FROM (SELECT q, doc, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM csims WHERE own) WHERE rank <= 10",
     "r31_truncated_topk": f"WITH s AS (SELECT a.vec_id AS q, b.vec_id AS doc, {_COSINE('a.embedding[1:32]', 'b.embedding[1:32]')} AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) SELECT q, doc, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM s) WHERE rank <= 10",
-    "r31_binary_topk": f"WITH s AS (SELECT a.vec_id AS q, b.vec_id AS doc, {_COSINE('a.embedding', 'b.embedding')} AS cosine, len(list_filter(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i] > 0) <> (b.embedding[i] > 0))) AS apart FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY apart, doc) AS r FROM s) SELECT q, doc, cosine, rank FROM (SELECT q, doc, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM r WHERE r <= 80) WHERE rank <= 10",
+    "r31_binary_topk": f"WITH s AS (SELECT a.vec_id AS q, b.vec_id AS doc, {_COSINE('a.embedding', 'b.embedding')} AS cosine, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CASE WHEN b.embedding[i] > 0 THEN CAST(a.embedding[i] AS DOUBLE) ELSE -CAST(a.embedding[i] AS DOUBLE) END)) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS r FROM s) SELECT q, doc, cosine, rank FROM (SELECT q, doc, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM r WHERE r <= 160) WHERE rank <= 10",
     "r3_keyword_rank": f"{_L} {_KEYWORD}",
     "r5_exact_lane": f"{_L} SELECT q, doc, score, rank FROM ({_EXACT})",
     "r6_rrf": f"{_N}, fused AS (SELECT q, doc, round(sum(CASE WHEN lane = 'exact' THEN 1.5 ELSE 1.0 END::DOUBLE / (60 + rank)), 9) AS fused FROM named GROUP BY 1, 2) {_TOPK}",
