@@ -9,7 +9,8 @@ No list of words is used; what is abusive is learned from the labels alone.
 
 Labels are of documents, passages have none: training alternates between choosing the passage that best explains
 each labelled document and fitting the machine; documents whose raters seem wrong are set aside on the way.  The fit
-uses at most *max_docs* labelled documents, a documented bound; scoring reads every document whole.
+uses at most *max_docs* labelled documents of *max_chars* characters in all, documented bounds; scoring reads every
+document whole.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,15 +110,24 @@ class Machine:
         self.w = np.zeros(1 << BITS, np.float32)
         self.v = rng.normal(0, 0.02, (1 << BITS, FACTORS)).astype(np.float32)
 
-    def scores(self, terms: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        """Log-odds of passages 0..n-1."""
-        size = np.bincount(owner, minlength=n)
-        x = 1 / np.sqrt(np.maximum(size, 1))
-        total = np.bincount(owner, self.w[terms], n) * x
-        for f in range(FACTORS):
-            v = self.v[terms, f]
-            total += 0.5 * (np.bincount(owner, v, n) ** 2 - np.bincount(owner, v * v, n)) * x * x
-        return total + self.w0
+    def scores(self, terms: np.ndarray, starts: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+        """Log-odds of passages; the terms of passage i are terms[starts[i]:starts[i + 1]].  Works in blocks of bounded size."""
+        n = len(starts) - 1
+        out = np.full(n, self.w0, np.float64)
+        first = 0
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + block, "right")) - 1)
+            t = terms[starts[first] : starts[last]]
+            size = np.diff(starts[first : last + 1])
+            owner = np.repeat(np.arange(last - first, dtype=np.int32), size)
+            x = 1 / np.sqrt(np.maximum(size, 1))
+            total = np.bincount(owner, self.w[t], last - first) * x
+            for f in range(FACTORS):
+                v = self.v[t, f]
+                total += 0.5 * (np.bincount(owner, v, last - first) ** 2 - np.bincount(owner, v * v, last - first)) * x * x
+            out[first:last] += total
+            first = last
+        return out
 
     def line_sums(self, text: str, n: int) -> np.ndarray:
         """Of each of the n lines of undisguised text what its score is made of: sums of weights, of factors and of their
@@ -143,19 +154,21 @@ class Machine:
     def line_scores(self, text: str, n: int) -> np.ndarray:
         return self.odds(self.line_sums(text, n))
 
-    def fit(self, terms: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 0, batch: int = 512, rate: float = 0.25, decay: float = 2e-4, seed: int = 5) -> None:
-        """Adagrad on the weighted logistic loss; owner must be sorted.  epochs 0: as many as make 400,000 steps over passages, 3 to 12."""
+    def fit(self, terms: np.ndarray, first: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 0, batch: int = 512, rate: float = 0.25, decay: float = 2e-4, seed: int = 5) -> None:
+        """Adagrad on the weighted logistic loss of passages, whose terms are terms[first:first + size], not copied.
+
+        epochs 0: as many as make 400,000 steps over passages, 3 to 12.
+        """
         rng = np.random.default_rng(seed)
         n = len(y)
         epochs = epochs or max(3, min(12, 400_000 // max(1, n)))
-        starts = np.searchsorted(owner, np.arange(n + 1))
         gw, gv, g0 = np.full(len(self.w), 1e-3, np.float32), np.full(self.v.shape, 1e-3, np.float32), 1e-3
         for _ in range(epochs):
             order = rng.permutation(n)
             for i in range(0, n, batch):
                 rows = order[i : i + batch]
-                sizes = starts[rows + 1] - starts[rows]
-                at = np.repeat(starts[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                sizes = size[rows]
+                at = np.repeat(first[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
                 t, o = terms[at], np.repeat(np.arange(len(rows)), sizes)
                 x = (1 / np.sqrt(np.maximum(sizes, 1))).astype(np.float32)
                 xo = x[o]
@@ -191,6 +204,17 @@ def passages_of(texts: list[str]) -> tuple[list[str], np.ndarray]:
     return list(index), np.array(pairs, np.int64).reshape(-1, 2)
 
 
+def _terms_of(passages: list[str], block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(terms of all passages one after another, where each begins), gathered in blocks."""
+    parts, sizes = [], []
+    for i in range(0, len(passages), block):
+        some = passages[i : i + block]
+        terms, owner = features("\n".join(some))
+        parts.append(terms[np.argsort(owner, kind="stable")])
+        sizes.append(np.bincount(owner, minlength=len(some)))
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
 def train(texts: list[str], votes: np.ndarray, rounds: int = 2, folds: int = 2, seed: int = 5) -> Machine:
     """Fit on texts and the mean vote of each (0 to 1).
 
@@ -204,17 +228,22 @@ def train(texts: list[str], votes: np.ndarray, rounds: int = 2, folds: int = 2,
     if not passages or not bad.any() or not good.any():
         machine.w0 = -20.0
         return machine
-    terms, owner = features("\n".join(passages))
-    order = np.argsort(owner, kind="stable")
-    terms, owner = terms[order], owner[order].astype(np.int64)
     n = len(passages)
-    starts = np.searchsorted(owner, np.arange(n + 1))
+    terms, starts = _terms_of(passages)
+    sizes = np.diff(starts)
     doc, pas = pairs[:, 0], pairs[:, 1]
     n_bad, n_good = np.bincount(pas[bad[doc]], minlength=n), np.bincount(pas[good[doc]], minlength=n)
-    seen_bad = np.bincount(terms, n_bad[owner], 1 << BITS)[terms] - (n_bad > 0)[owner]
-    seen_good = np.bincount(terms, n_good[owner], 1 << BITS)[terms] - (n_good > 0)[owner]
-    odds = np.log((np.maximum(seen_bad, 0) + 0.3) / bad.sum()) - np.log((np.maximum(seen_good, 0) + 0.3) / good.sum())
-    score = np.bincount(owner, np.clip(odds, -3, 3), n) / np.maximum(starts[1:] - starts[:-1], 1) * 3 - 2.0
+    in_bad, in_good_docs = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    blocks = [(i, min(n, i + 8192)) for i in range(0, n, 8192)]
+    for i, j in blocks:
+        t = terms[starts[i] : starts[j]]
+        in_bad += np.bincount(t, np.repeat(n_bad[i:j], sizes[i:j]), 1 << BITS)
+        in_good_docs += np.bincount(t, np.repeat(n_good[i:j], sizes[i:j]), 1 << BITS)
+    score = np.empty(n)
+    for i, j in blocks:  # log-odds of a passage's terms in the documents, its own one left out
+        t, own = terms[starts[i] : starts[j]], np.repeat(np.arange(j - i), sizes[i:j])
+        odds = np.log((np.maximum(in_bad[t] - (n_bad[i:j] > 0)[own], 0) + 0.3) / bad.sum()) - np.log((np.maximum(in_good_docs[t] - (n_good[i:j] > 0)[own], 0) + 0.3) / good.sum())
+        score[i:j] = np.bincount(own, np.clip(odds, -3, 3), j - i) / np.maximum(sizes[i:j], 1) * 3 - 2.0
     fold = np.random.default_rng(seed).integers(0, folds, len(texts))
 
     def fitted(score: np.ndarray, keep: np.ndarray) -> Machine:
@@ -230,34 +259,34 @@ def train(texts: list[str], votes: np.ndarray, rounds: int = 2, folds: int = 2,
         weight[in_good & ((score < 2) | (n_good > 1))] = 1
         weight[chosen], y[chosen] = 2, 1
         use = np.flatnonzero(weight > 0)
-        sizes = starts[use + 1] - starts[use]
-        at = np.repeat(starts[use] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         m = Machine(seed)
-        m.fit(terms[at], np.repeat(np.arange(len(use)), sizes), y[use], weight[use], seed=seed)
+        m.fit(terms, starts[use], sizes[use], y[use], weight[use], seed=seed)
         return m
 
     everyone = np.ones(len(texts), bool)
     for _ in range(rounds - 1):
         fresh = np.full(n, -np.inf)
         for f in range(folds):
-            z = fitted(score, fold != f).scores(terms, owner, n)
+            z = fitted(score, fold != f).scores(terms, starts)
             mine = np.unique(pas[fold[doc] == f])
             fresh[mine] = np.maximum(fresh[mine], z[mine])
         score = fresh
     return fitted(score, everyone)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, max_docs: int) -> tuple[list[str], np.ndarray]:
-    """Texts and mean votes of at most max_docs labelled documents, those of the least hashes."""
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, max_docs: int, max_chars: int) -> tuple[list[str], np.ndarray]:
+    """Texts and mean votes of labelled documents, in the order of their hashes: at most max_docs and max_chars characters."""
     votes = labels.filter(F.col(toxic).isNotNull()).groupBy(doc_id).agg(F.avg(F.col(toxic).cast("double")).alias("vote"), F.count("*").alias("n"))
     votes = votes.orderBy(F.xxhash64(doc_id), doc_id).limit(max_docs)
-    rows = docs.filter(F.col(text).isNotNull()).select(doc_id, text).join(F.broadcast(votes), doc_id).orderBy(F.xxhash64(doc_id)).toPandas()
+    rows = docs.filter(F.col(text).isNotNull()).select(doc_id, text).join(F.broadcast(votes), doc_id)
+    before = F.sum(F.length(text)).over(W.orderBy(F.xxhash64(doc_id), doc_id).rowsBetween(W.unboundedPreceding, 0))  # max_docs rows
+    rows = rows.withColumn("chars", before).filter(F.col("chars") <= max_chars).orderBy(F.xxhash64(doc_id), doc_id).select(text, "vote").toPandas()
     return rows[text].tolist(), rows["vote"].to_numpy(float)
 
 
-def abuse_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", toxic: str = "toxic", max_docs: int = 20_000, remembered: int = 200_000) -> DataFrame:
+def abuse_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", toxic: str = "toxic", max_docs: int = 20_000, max_chars: int = 100_000_000, remembered: int = 200_000) -> DataFrame:
     """(doc_id, source, score) of every document: the probability of its worst passage.  Null and empty texts score 0."""
-    texts, votes = labelled(docs, labels, doc_id, text, toxic, max_docs)
+    texts, votes = labelled(docs, labels, doc_id, text, toxic, max_docs, max_chars)
     model = docs.sparkSession.sparkContext.broadcast(train(texts, votes))
     kept = spread(docs.select(F.col(doc_id), F.col(source), F.col(text).cast("string").alias("__text")))
     schema = T.StructType([kept.schema[doc_id], kept.schema[source], T.StructField("score", T.DoubleType())])

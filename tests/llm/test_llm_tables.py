@@ -206,8 +206,9 @@ def test_abuse_learns_the_passage_from_document_labels():
     m = abuse.train(texts, np.array(votes))
     score = lambda s: m.line_scores(abuse.undisguised(s), 1)[0]
     assert min(score(b) for b in bad) > 0 > max(score(c) for c in clean)
-    terms, owner = abuse.features("abcd efgh\nxy")
-    assert np.allclose(m.scores(terms, owner, 2), m.line_scores("abcd efgh\nxy", 2), atol=1e-4)
+    terms, starts = abuse._terms_of(["abcd efgh", "xy", "check the belt"], block=2)
+    for block in (1, 1 << 20):
+        assert np.allclose(m.scores(terms, starts, block), m.line_scores("abcd efgh\nxy\ncheck the belt", 3), atol=1e-4)
 
 
 def test_abuse_operator_edges(spark):
