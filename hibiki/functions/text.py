@@ -141,3 +141,19 @@ def content_terms(c: Column) -> Column:
 def match_words(c: Column) -> Column:
     """The words of the index form with punctuation of any kind as white space."""
     return F.filter(F.split(F.regexp_replace(index_form(c), r"[\p{P}\p{S} \t\n\r]+", " "), " "), lambda t: t != "")
+
+
+def without_endings(c: Column, endings: list[str], passes: int = 3) -> Column:
+    """The text without colloquial endings (patterns), stripped up to *passes* times, trimmed; never emptied."""
+    pattern = f"(?:{'|'.join(endings)})[?？。!！]*$"
+    out = F.trim(c)
+    for _ in range(passes):
+        shorter = F.trim(F.regexp_replace(out, pattern, ""))
+        out = F.when(shorter != "", shorter).otherwise(out)
+    return out
+
+
+def overlap_share(a: Column, b: Column) -> Column:
+    """The share of the distinct characters of a that b has; null for null, 0 for an empty a."""
+    chars = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+    return F.when(a.isNotNull() & b.isNotNull(), F.round(F.size(F.array_intersect(chars(a), chars(b))) / F.greatest(F.size(chars(a)), F.lit(1)), 6))

@@ -42,7 +42,12 @@ def lookup(asked: DataFrame, q: str, text: str, known: DataFrame, key: str, text
 
 
 def nearest_by_bigrams(asked: DataFrame, known: DataFrame, q: str, key: str, text: str, least: float) -> DataFrame:
-    """(q, key, jaccard): the known text whose bigram set is nearest to the asked one, if at least *least*; ties by key.
+    """(q, key, jaccard): the known text whose bigram set is nearest to the asked one, if at least *least*; ties by key."""
+    return newest(similar_by_bigrams(asked, known, q, key, text, least), [q], F.col("jaccard").desc(), F.col(key))
+
+
+def similar_by_bigrams(asked: DataFrame, known: DataFrame, q: str, key: str, text: str, least: float) -> DataFrame:
+    """(q, key, jaccard): all known texts whose bigram sets are at least *least* like the asked one's.
 
     asked, a stated query set, has q and text; known has key and text.  Two sets that similar share one of the rarest
     size - ceil(least * size) + 1 grams of each (prefix filter), so only those are joined, and grams that most texts hold
@@ -64,8 +69,28 @@ def nearest_by_bigrams(asked: DataFrame, known: DataFrame, q: str, key: str, tex
     pairs = x.join(y, "gram").filter((F.col("nb") >= least * F.col("na")) & (F.col("na") >= least * F.col("nb"))).select("__q", "__k").distinct()
     both = pairs.join(a, "__q").join(b, "__k")
     common = F.size(F.array_intersect("g", "h"))
-    scored = both.select(F.col("__q").alias(q), F.col("__k").alias(key), F.round(common / (F.size("g") + F.size("h") - common), 6).alias("jaccard")).filter(F.col("jaccard") >= least)
-    return newest(scored, [q], F.col("jaccard").desc(), F.col(key))
+    scored = both.select(F.col("__q").alias(q), F.col("__k").alias(key), F.round(common / (F.size("g") + F.size("h") - common), 6).alias("jaccard"))
+    return scored.filter(F.col("jaccard") >= least)
+
+
+def holding(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str, head: int = 4) -> DataFrame:
+    """(key, term), distinct: the terms that a text contains, as written; null and empty terms are contained by none.
+
+    A text that contains a term contains its first characters, up to *head*: windows of those lengths are joined on, the
+    whole term is compared afterwards.  Texts are read once per length, at most *head* times.
+    """
+    asked = materialize(terms.select(F.col(term).alias("__t")).filter(F.col("__t") != "").distinct().withColumn("__h", F.substring("__t", 1, head)), "terms")
+    rows = texts.select(F.col(key).alias("__k"), F.col(text).alias("__x")).filter("__x is not null")
+
+    def windows(n: int) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__x") - n + 1), lambda i: F.substring(F.col("__x"), i, F.lit(n))))
+
+    out = None
+    for n in range(1, head + 1):
+        some = asked.filter(F.length("__h") == n)
+        part = rows.filter(F.length("__x") >= n).select("__k", "__x", F.explode(windows(n)).alias("__h")).join(some, "__h").filter(F.contains("__x", F.col("__t"))).select(F.col("__k").alias(key), F.col("__t").alias(term))
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
 
 
 def typo_pairs(rare: DataFrame, common: DataFrame, word: str) -> DataFrame:

@@ -92,13 +92,14 @@ def f8_question_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t15_perturbed(spark: SparkSession, d: str) -> DataFrame:
-    """Each query in one of four disturbed forms picked by hash: wide letters, spaces, a swap, no punctuation."""
+    """Each query in one of eight disturbed forms picked by hash: wide letters, spaces, a swap, no punctuation, a filler, a casual ending, short vowels, lower case."""
     q = F.col("query")
-    pick = F.pmod(F.conv(F.substring(F.md5(F.col("case_id")), 1, 8), 16, 10).cast("long"), F.lit(4))
+    pick = F.pmod(F.conv(F.substring(F.md5(F.col("case_id")), 1, 8), 16, 10).cast("long"), F.lit(8))
     wide = F.translate(q, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ")
     swap = F.concat(F.substring(q, 1, 2), F.substring(q, 4, 1), F.substring(q, 3, 1), F.substring(q, 5, 1_000_000))
-    form = F.when(pick == 0, wide).when(pick == 1, F.regexp_replace(q, "([0-9]+)", " $1 ")).when(pick == 2, swap).otherwise(F.regexp_replace(q, r"\p{P}", ""))
-    return table(spark, d, "semantic_challenge_v2_cases").filter("length(query) >= 5").select("row_no", pick.alias("kind"), form.alias("form"))
+    forms = [wide, F.regexp_replace(q, "([0-9]+)", " $1 "), swap, F.regexp_replace(q, r"\p{P}", ""), F.concat(F.lit("えーと、"), q), F.regexp_replace(q, "(ですか|ますか)[?？]?$", "っけ？"), F.replace(q, F.lit("ー"), F.lit("")), F.lower(q)]
+    form = F.element_at(F.array(*forms), (pick + 1).cast("int"))
+    return table(spark, d, "semantic_challenge_v2_cases").filter("query is not null").select("row_no", pick.alias("kind"), form.alias("form"))
 
 
 def a12_feedback_by_tenant(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +153,8 @@ kw AS (SELECT q, doc, rank, round(least(coalesce(list_sum(list_transform(terms,
 _SK = lambda c: f"regexp_replace({INDEX(c)}, '{X.PUNCT}', '', 'g')"
 _NUMS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]*[0-9][a-z0-9._:-]*[a-z0-9]|[0-9]'))"
 _F8 = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(query, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{k}'" for k, ws in _WORDS.items()) + " ELSE 'other' END"
-_PICK = "CAST('0x' || substr(md5(case_id), 1, 8) AS BIGINT) % 4"
+_PICK = "CAST('0x' || substr(md5(case_id), 1, 8) AS BIGINT) % 8"
+T15_FORM = f"""CASE {_PICK} WHEN 0 THEN translate(query, '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', '０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ') WHEN 1 THEN regexp_replace(query, '([0-9]+)', ' \\1 ', 'g') WHEN 2 THEN substr(query, 1, 2) || substr(query, 4, 1) || substr(query, 3, 1) || substr(query, 5) WHEN 3 THEN regexp_replace(query, '\\p{{P}}', '', 'g') WHEN 4 THEN 'えーと、' || query WHEN 5 THEN regexp_replace(query, '(ですか|ますか)[?？]?$', 'っけ？') WHEN 6 THEN replace(query, 'ー', '') ELSE lower(query) END"""
 def _drift_sql() -> str:
     from .stats import SQL as stats_sql
 
@@ -172,7 +174,7 @@ SQL = {
     "m8_regression_gate": f"{P._ME}, s AS (SELECT 'bm25' AS mode, * FROM met_a UNION ALL SELECT 'cosine', * FROM met_b), u AS (" + " UNION ALL ".join(f"SELECT mode, '{m}' AS metric, round(avg({m}), 6) AS value FROM s GROUP BY 1" for m in ("hit", "recall", "mrr", "ndcg")) + ") SELECT metric, max(CASE WHEN mode = 'bm25' THEN value END) AS baseline, max(CASE WHEN mode = 'cosine' THEN value END) AS value, max(CASE WHEN mode = 'cosine' THEN value END) < max(CASE WHEN mode = 'bm25' THEN value END) - 0.02 AS worse FROM u GROUP BY 1",
     "m10_shadow": f"{P._L}, {P._run_sql('bm25', 'run_a')}, {P._run_sql('cosine', 'run_b')} SELECT count(*) AS queries, count(*) FILTER (a.item IS DISTINCT FROM b.item) AS changed, count(*) FILTER (b.item IS NULL AND a.item IS NOT NULL) AS lost FROM (SELECT * FROM run_a WHERE rank = 1) a FULL JOIN (SELECT * FROM run_b WHERE rank = 1) b ON a.q = b.q",
     "f8_question_types": f"SELECT {_F8} AS kind, count(*) AS n FROM semantic_challenge_v2_cases GROUP BY 1",
-    "t15_perturbed": f"SELECT row_no, {_PICK} AS kind, CASE {_PICK} WHEN 0 THEN translate(query, '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', '０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ') WHEN 1 THEN regexp_replace(query, '([0-9]+)', ' \\1 ', 'g') WHEN 2 THEN substr(query, 1, 2) || substr(query, 4, 1) || substr(query, 3, 1) || substr(query, 5) ELSE regexp_replace(query, '\\p{{P}}', '', 'g') END AS form FROM semantic_challenge_v2_cases WHERE length(query) >= 5",
+    "t15_perturbed": f"SELECT row_no, {_PICK} AS kind, {T15_FORM} AS form FROM semantic_challenge_v2_cases WHERE query IS NOT NULL",
     "a13_case_summary": "WITH c AS (SELECT coalesce(challenge_category, 'none') AS category, coalesce(CAST(answerable AS VARCHAR), 'unknown') AS answerable, coalesce(len(gold_chunk_ids), 0) AS golds FROM semantic_challenge_v2_cases) SELECT coalesce(category, 'all') AS category, coalesce(answerable, 'all') AS answerable, count(*) AS n, round(avg(golds), 6) AS mean_golds FROM c GROUP BY ROLLUP (category, answerable)",
     "f6_record_page": "SELECT row_no, qa_id FROM approved_qa_alias_fixture WHERE status = 'approved' AND lower(substr(language, 1, 2)) = 'ja' AND contains(approved_answer, '許可') ORDER BY created_at DESC, row_no LIMIT 50 OFFSET 50",
     "ss8_probe_notices": "WITH f AS (SELECT *, user_id % 5 AS tenant, event_type = 'error' AS f FROM events), s AS (SELECT *, CASE WHEN f AND NOT coalesce(lag(f) OVER w, false) THEN 1 ELSE 0 END AS s FROM f WINDOW w AS (PARTITION BY tenant ORDER BY ts, event_id)), i AS (SELECT *, CAST(sum(s) OVER (PARTITION BY tenant ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY tenant, island ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY tenant, island) AS n FROM i WHERE f) SELECT tenant, island, n, event_id AS announced_at FROM r WHERE n >= 2 AND k = 2",

@@ -13,7 +13,7 @@ from ..operators import review as V
 from ..sources.tables import materialize, table
 from . import retrieval as P
 from .operations import _calls
-from .quality import t15_perturbed
+from .quality import _PICK, T15_FORM, t15_perturbed
 from .text import INDEX, TOKENS
 
 KANA_TERM, KANJI_TERM = rf"[{X.KATAKANA}]{{3,}}", rf"[{X.KANJI}]{{2,}}"
@@ -141,8 +141,6 @@ h AS (SELECT q, doc, rank, faq, kind, n_terms, {_HIT('quoted_t', 'text')} AS quo
 p AS (SELECT *, (quoted > 0 OR ids > 0) AS strong, alnum + katakana + kanji AS lexical, CASE WHEN quoted > 0 THEN 2 + least(1, quoted - 1) ELSE 0 END + CASE WHEN ids > 0 THEN 1 WHEN alnum > 0 THEN 2 ELSE 0 END + CASE WHEN katakana > 0 THEN 2 ELSE 0 END + CASE WHEN kanji > 0 THEN 2 ELSE 0 END + least(2, title) + CASE WHEN section > 0 THEN 1 ELSE 0 END + CASE WHEN question > 0 THEN 2 ELSE 0 END + CASE WHEN code > 0 THEN 1 ELSE 0 END + CASE WHEN kind = 'procedure' THEN 1 ELSE 0 END AS raw FROM h),
 l AS (SELECT *, CAST(least(CASE WHEN NOT strong AND n_terms > 1 AND lexical < 2 AND title = 0 AND question = 0 THEN 0 WHEN kind = 'other' AND NOT strong THEN least(raw, 2) ELSE raw END, CASE WHEN strong THEN 3 ELSE 2 END) AS BIGINT) AS lift FROM p)
 SELECT q, doc, rank, lift, row_number() OVER (PARTITION BY q ORDER BY greatest(1, rank - lift), CASE WHEN strong THEN 0 ELSE 1 END, -(quoted + ids + code), -(title + section + question), -lexical, rank) AS new_rank FROM l"""
-_FORM = """CASE {p} WHEN 0 THEN translate(query, '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', '０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ') WHEN 1 THEN regexp_replace(query, '([0-9]+)', ' \\1 ', 'g') WHEN 2 THEN substr(query, 1, 2) || substr(query, 4, 1) || substr(query, 3, 1) || substr(query, 5) ELSE regexp_replace(query, '\\p{{P}}', '', 'g') END"""
-_PICK = "(CAST('0x' || substr(md5(case_id), 1, 8) AS BIGINT) % 4)"
 SQL = {
     "j5_review_queue": f"""WITH {_E}, {_CHAT}, {_FB}, first AS (SELECT trace AS token, arg_min(request, (ts, event_id)) AS request FROM chat GROUP BY 1),
 said AS (SELECT token, request, CASE WHEN kind = 'human_review' THEN kind WHEN coalesce(trim(selected), '') <> '' THEN 'bad_with_selection' ELSE 'bad_without_selection' END AS reason FROM fb JOIN first USING (token) WHERE kind IN ('bad', 'human_review')),
@@ -164,5 +162,5 @@ c AS (SELECT row_no, list_filter(coalesce(required_gold_support_terms, []), lamb
 k AS (SELECT DISTINCT row_no, unnest(ids) AS id FROM c), x AS (SELECT row_no, list(text) FILTER (text IS NOT NULL) AS texts FROM k JOIN t USING (id) GROUP BY 1),
 y AS (SELECT c.row_no, req, forb, coalesce(texts, []) AS texts FROM c LEFT JOIN x USING (row_no))
 SELECT row_no, len(texts) AS texts, len(list_filter(req, lambda r: len(list_filter(texts, lambda s: contains(s, r))) = 0)) = 0 AS all_held, len(list_filter(req, lambda r: len(list_filter(texts, lambda s: contains(s, r))) > 0)) > 0 AS any_held, len(list_filter(forb, lambda r: len(list_filter(texts, lambda s: contains(s, r))) > 0)) > 0 AS forbidden_held FROM y""",
-    "m11_robustness": f"WITH c AS (SELECT {_PICK} AS kind, query, {_FORM.format(p=_PICK)} AS form FROM semantic_challenge_v2_cases WHERE length(query) >= 5), a AS (SELECT kind, form, {TOKENS} AS a FROM (SELECT kind, form, {INDEX('query')} AS s FROM c)), b AS (SELECT kind, a, {TOKENS} AS b FROM (SELECT kind, a, {INDEX('form')} AS s FROM a)) SELECT kind, count(*) AS n, round(avg(len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1)), 6) AS \"left\" FROM b GROUP BY 1",
+    "m11_robustness": f"WITH c AS (SELECT {_PICK} AS kind, query, {T15_FORM} AS form FROM semantic_challenge_v2_cases WHERE query IS NOT NULL), a AS (SELECT kind, form, {TOKENS} AS a FROM (SELECT kind, form, {INDEX('query')} AS s FROM c)), b AS (SELECT kind, a, {TOKENS} AS b FROM (SELECT kind, a, {INDEX('form')} AS s FROM a)) SELECT kind, count(*) AS n, round(avg(len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1)), 6) AS \"left\" FROM b GROUP BY 1",
 }

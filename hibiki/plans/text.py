@@ -88,12 +88,19 @@ def t17_stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, CHUNKS).select("row_no", F.concat(F.lit("c_"), F.substring(F.sha1(key), 1, 16)).alias("stable_id"))
 
 
+# Marks of questions, answers, steps and articles at the start of a line.
+_MARKS = {"q": "^[ \\t]*(Q|Ｑ|問|質問)[0-9０-９]*[.:：．、]", "a": "^[ \\t]*(A|Ａ|答|回答)[0-9０-９]*[.:：．、]", "steps": "^[ \\t]*([0-9]{1,2}[.)．]|手順[0-9])", "articles": "^(第[0-9一二三四五六七八九十]+[条章節]|■|【|[0-9]+\\.[0-9]+ )", "rows": "\\|.*\\||\\t"}
+
+
 def c1_doc_type(spark: SparkSession, d: str) -> DataFrame:
+    """faq with three questions and answers or more, balanced; table, procedure or policy by the share of lines; else text."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
-    q, a = F.size(F.filter(lines, lambda x: x.rlike(r"[?？]$"))), F.size(F.filter(lines, lambda x: x.rlike(r"^[・\-*]")))
-    n = F.size(lines)
-    kind = F.when((q >= 3) & (q >= 0.1 * n), "faq").when((a >= 3) & (a >= 0.3 * n), "list").when(F.exists(lines, lambda x: x.rlike(r"^(第[0-9]+章|■|【|[0-9]+\.[0-9]+ )")), "manual").otherwise("text")
-    return table(spark, d, DOCS).select("doc_id", kind.alias("kind"), n.cast("long").alias("n_lines"))
+    rows = table(spark, d, DOCS).select("doc_id", lines.alias("l"))
+    count = lambda p: F.size(F.filter("l", lambda x: x.rlike(p)))
+    rows = rows.select("doc_id", F.size("l").alias("n"), *[count(p).alias(k) for k, p in _MARKS.items()])
+    balanced = F.least("q", "a") * 2 >= F.greatest("q", "a")
+    kind = F.when((F.col("q") >= 3) & (F.col("a") >= 3) & balanced, "faq").when(F.col("rows") * 2 >= F.col("n"), "table").when(F.col("steps") >= 3, "procedure").when(F.col("articles") >= 2, "policy").otherwise("text")
+    return rows.select("doc_id", kind.alias("kind"), F.col("n").cast("long").alias("n_lines"))
 
 
 def c7_fixed_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +137,7 @@ SQL = {
     "t14_slices": " UNION ALL ".join([f"SELECT '{n}' AS slice, count(*) AS n FROM semantic_challenge_v2_cases WHERE regexp_matches(query, '{p}')" for n, p in _SLICES.items()] + ["SELECT 'short' AS slice, count(*) AS n FROM semantic_challenge_v2_cases WHERE length(query) <= 12 HAVING count(*) > 0", "SELECT 'all' AS slice, count(*) AS n FROM semantic_challenge_v2_cases"]),
     "t16_hash_split": "WITH h AS (SELECT doc_id, CAST('0x' || substr(sha256('split:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 AS share FROM documents) SELECT doc_id, share, CASE WHEN share < 8000 THEN 'dev' ELSE 'test' END AS split FROM h",
     "t17_stable_ids": "SELECT row_no, 'c_' || substr(sha1(concat_ws(chr(1), coalesce(tenant_id, 'default'), source_doc, CAST(chunk_index AS VARCHAR), text)), 1, 16) AS stable_id FROM semantic_challenge_v2_chunks",
-    "c1_doc_type": f"WITH l AS (SELECT doc_id, {_LINES} AS l FROM documents), n AS (SELECT doc_id, l, len(l) AS n, len(list_filter(l, lambda x: regexp_matches(x, '[?？]$'))) AS q, len(list_filter(l, lambda x: regexp_matches(x, '^[・\\-*]'))) AS a FROM l) SELECT doc_id, CASE WHEN q >= 3 AND q >= 0.1 * n THEN 'faq' WHEN a >= 3 AND a >= 0.3 * n THEN 'list' WHEN len(list_filter(l, lambda x: regexp_matches(x, '^(第[0-9]+章|■|【|[0-9]+\\.[0-9]+ )'))) > 0 THEN 'manual' ELSE 'text' END AS kind, n AS n_lines FROM n",
+    "c1_doc_type": f"WITH l AS (SELECT doc_id, {_LINES} AS l FROM documents), n AS (SELECT doc_id, len(l) AS n, " + ", ".join(f"len(list_filter(l, lambda x: regexp_matches(x, '{p}'))) AS {k}" for k, p in _MARKS.items()) + " FROM l) SELECT doc_id, CASE WHEN q >= 3 AND a >= 3 AND least(q, a) * 2 >= greatest(q, a) THEN 'faq' WHEN rows * 2 >= n THEN 'table' WHEN steps >= 3 THEN 'procedure' WHEN articles >= 2 THEN 'policy' ELSE 'text' END AS kind, n AS n_lines FROM n",
     "c7_fixed_windows": "WITH w AS (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 400 THEN 1 ELSE CAST(ceil((length(text) - 80) / 320.0) AS BIGINT) END)) AS no FROM documents) SELECT doc_id, no, no * 320 AS start, sha256(substr(text, no * 320 + 1, 400)) AS piece_sha FROM w",
     "c9_reassemble": "SELECT doc_id, sha256(text) AS text_sha, CAST(ceil(length(text) / 400.0) AS BIGINT) AS n_parts FROM documents WHERE length(text) > 0",
 }
