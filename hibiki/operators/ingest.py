@@ -48,11 +48,11 @@ def stale_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.join(docs, ["tenant_id", "source_doc"], "left_semi").join(new.select("tenant_id", "source_doc", "id").distinct(), ["tenant_id", "source_doc", "id"], "left_anti")
 
 
-def collisions(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, tenants): ids of *new* that belong to another tenant already, with how many tenants want them."""
-    both = existing.select("id", "tenant_id").distinct().withColumn("old", F.lit(True)).unionByName(new.select("id", "tenant_id").distinct().withColumn("old", F.lit(False)))
-    per = both.groupBy("id").agg(F.countDistinct("tenant_id").alias("tenants"), F.bool_or("old").alias("was"), F.bool_or(~F.col("old")).alias("comes"))
-    return per.filter("tenants > 1 and was and comes").select("id", "tenants")
+def collisions(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """(key, tenants): keys of *new* that belong to another tenant already, with how many tenants want them."""
+    both = existing.select(key, "tenant_id").distinct().withColumn("old", F.lit(True)).unionByName(new.select(key, "tenant_id").distinct().withColumn("old", F.lit(False)))
+    per = both.groupBy(key).agg(F.countDistinct("tenant_id").alias("tenants"), F.bool_or("old").alias("was"), F.bool_or(~F.col("old")).alias("comes"))
+    return per.filter("tenants > 1 and was and comes").select(key, "tenants")
 
 
 def cleaned(docs: DataFrame, page: str, group: str, text: str, most_chars: int = 40, least_pages: int = 3, least_share: float = 0.6) -> DataFrame:

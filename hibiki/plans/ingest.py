@@ -56,7 +56,8 @@ def s13_stale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s13_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return G.collisions(*_generations(spark, d))
+    """Sources that more than one tenant delivers, before and after the cut."""
+    return G.collisions(*_generations(spark, d), "source_doc")
 
 
 def f4_child_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +170,7 @@ SQL = {
     "s3_last_days": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) - 7 FROM events) GROUP BY 1, 2",
     "s13_ingest": f"WITH {_GEN} SELECT row_no, tenant AS tenant_id, coalesce(searchable, 1) AS searchable, real[1] AS page_start, real[len(real)] AS page_end, 'g2' AS generation FROM g2",
     "s13_stale": f"WITH {_GEN} SELECT row_no, id FROM g1 WHERE EXISTS (SELECT 1 FROM g2 WHERE g2.tenant = g1.tenant AND g2.source_doc = g1.source_doc) AND NOT EXISTS (SELECT 1 FROM g2 WHERE g2.tenant = g1.tenant AND g2.source_doc = g1.source_doc AND g2.id = g1.id)",
-    "s13_collisions": f"WITH {_GEN}, u AS (SELECT id, tenant, true AS old FROM g1 UNION ALL SELECT id, tenant, false FROM g2) SELECT id, count(DISTINCT tenant) AS tenants FROM u GROUP BY 1 HAVING count(DISTINCT tenant) > 1 AND bool_or(old) AND bool_or(NOT old)",
+    "s13_collisions": f"WITH {_GEN}, u AS (SELECT source_doc, tenant, true AS old FROM g1 UNION ALL SELECT source_doc, tenant, false FROM g2) SELECT source_doc, count(DISTINCT tenant) AS tenants FROM u GROUP BY 1 HAVING count(DISTINCT tenant) > 1 AND bool_or(old) AND bool_or(NOT old)",
     "f4_child_rows": "SELECT chunk_type, count(*) AS n FROM manufacturing_chunks WHERE lower(trim(coalesce(chunk_role, ''))) IN ('', 'child', 'leaf') GROUP BY 1",
     "f5_manifest": f"SELECT row_no, source_doc FROM source_manifest WHERE {_T()} = 'default' AND source_type IN ('pdf', 'xlsx', 'docx') AND size_bytes > 100000",
     "f7_audit_page": f"SELECT row_no, qa_id FROM approved_qa_alias_fixture WHERE created_at >= TIMESTAMP '2026-03-01' AND {_T()} IN ('default', 'tenant-a', 'tenant-b') AND status = 'approved' AND (contains(lower(approved_answer), '点検') OR contains(lower(approved_answer), 'replace')) ORDER BY created_at DESC, row_no LIMIT 100",

@@ -151,19 +151,19 @@ def _plain_sql() -> str:
 
 _TENANT_NEAR = f"near AS (SELECT q, min(round(1 - cosine, 6)) AS distance FROM (SELECT q, doc, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM csims WHERE own) WHERE rank <= 2 AND q <> doc GROUP BY 1)"
 SQL = {
-    "n9_overlap": f"WITH f AS (SELECT row_no, {_EK('question')} AS a, {_EK('approved_answer')} AS b FROM approved_qa_alias_fixture) SELECT row_no, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN round(len(list_intersect({_CHARS('a')}, {_CHARS('b')})) / greatest(len({_CHARS('a')}), 1), 6) END AS overlap, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN len(list_filter(list_distinct(regexp_extract_all(a, '[a-z0-9]+-[a-z0-9]+')), lambda t: contains(b, t))) END AS codes FROM f",
+    "n9_overlap": f"WITH f AS MATERIALIZED (SELECT row_no, {_EK('question')} AS a, {_EK('approved_answer')} AS b FROM approved_qa_alias_fixture) SELECT row_no, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN round(len(list_intersect({_CHARS('a')}, {_CHARS('b')})) / greatest(len({_CHARS('a')}), 1), 6) END AS overlap, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN len(list_filter(list_distinct(regexp_extract_all(a, '[a-z0-9]+-[a-z0-9]+')), lambda t: contains(b, t))) END AS codes FROM f",
     "j14_synonyms": f"SELECT concat_ws(',', {_SHARED}) AS shared, ({_AGAINST}) AS against, count(*) AS n FROM approved_qa_alias_fixture WHERE question IS NOT NULL AND approved_answer IS NOT NULL GROUP BY 1, 2",
     "j16_terms_held": "WITH t AS (SELECT DISTINCT unnest(required_gold_support_terms) AS term FROM semantic_challenge_v2_cases) SELECT term, count(DISTINCT row_no) AS chunks FROM t JOIN semantic_challenge_v2_chunks ON contains(text, term) WHERE term <> '' GROUP BY 1",
     "r21_prefer": f"{P._L}, {P._TOP(20)}, k AS (SELECT row_no AS doc, chunk_type = 'qa_pair' AS pair FROM manufacturing_chunks) SELECT q, doc, rank FROM (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY floor(bm25) DESC, pair DESC NULLS LAST, chars, doc) AS rank FROM top JOIN k USING (doc)) WHERE rank <= 10",
     "r22_guards": f"WITH {P._CHUNK_SIMS}, {_TENANT_NEAR} SELECT c.row_no AS q, distance, CASE WHEN distance IS NULL THEN 'no_results' WHEN distance > 0.95 THEN 'too_far' WHEN distance > 0.65 THEN 'doubtful' ELSE 'near' END AS guard FROM cv c LEFT JOIN near ON near.q = c.row_no WHERE c.row_no % 20 = 0 AND c.normalized_question IS NOT NULL",
-    "r26_features": f"""WITH ka AS (SELECT row_no AS q, query AS a, {_STRONG('query')} AS k FROM semantic_challenge_v2_cases WHERE row_no % 20 = 0), kb AS (SELECT row_no AS key, question AS b, {_STRONG('question')} AS k FROM approved_qa_alias_fixture), ga AS (SELECT q, a, {_G2('k')} AS g FROM ka), gb AS (SELECT key, b, {_G2('k')} AS h FROM kb),
+    "r26_features": f"""WITH ka AS MATERIALIZED (SELECT row_no AS q, query AS a, {_STRONG('query')} AS k FROM semantic_challenge_v2_cases WHERE row_no % 20 = 0), kb AS MATERIALIZED (SELECT row_no AS key, question AS b, {_STRONG('question')} AS k FROM approved_qa_alias_fixture), ga AS (SELECT q, a, {_G2('k')} AS g FROM ka), gb AS (SELECT key, b, {_G2('k')} AS h FROM kb),
 ea AS (SELECT q, len(g) AS na, unnest(g) AS g FROM ga), eb AS (SELECT key, len(h) AS nb, unnest(h) AS g FROM gb), p AS (SELECT q, key, round(count(*) / (na + nb - count(*)), 6) AS jaccard FROM ea JOIN eb USING (g) GROUP BY q, key, na, nb),
 s AS (SELECT q, key, round(jaccard + CASE WHEN len(list_intersect(regexp_extract_all(a, '[0-9]+'), regexp_extract_all(b, '[0-9]+'))) > 0 THEN 0.08 ELSE 0.0 END - CASE WHEN {_NEG('a')} <> {_NEG('b')} THEN 0.04 ELSE 0.0 END, 6)::DOUBLE AS score FROM p JOIN ga USING (q) JOIN gb USING (key) WHERE jaccard >= 0.4)
 SELECT q, key, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS rank FROM s) WHERE rank <= 5""",
     "r29_plain_queries": _plain_sql(),
     "w8_due_sources": "WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_doc ORDER BY updated_at DESC NULLS LAST, row_no) AS r FROM source_manifest WHERE source_doc IS NOT NULL) WHERE r = 1), l AS (SELECT source_doc, datediff('day', CAST(updated_at AS DATE), DATE '2026-07-01') - CASE source_type WHEN 'pdf' THEN 90 WHEN 'xlsx' THEN 30 ELSE 60 END AS days_late FROM m) SELECT * FROM l WHERE days_late > 0",
     "x6_pools": f"""WITH p0 AS (SELECT row_no, unnest(gold_chunk_ids) AS id, 1 AS label FROM semantic_challenge_v2_cases UNION ALL SELECT row_no, unnest(distractor_chunk_ids), 0 FROM semantic_challenge_v2_cases), p AS (SELECT row_no, id, max(label) AS label FROM p0 WHERE id IS NOT NULL GROUP BY 1, 2),
-t0 AS (SELECT id, {_STRONG('text')} AS k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, row_no) AS r FROM semantic_challenge_v2_chunks WHERE id IS NOT NULL) WHERE r = 1), t AS (SELECT id, {_G2('k')} AS h FROM t0), a0 AS (SELECT row_no, {_STRONG('query')} AS k FROM semantic_challenge_v2_cases WHERE query IS NOT NULL), a AS (SELECT row_no, {_G2('k')} AS g FROM a0),
+t0 AS MATERIALIZED (SELECT id, {_STRONG('text')} AS k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, row_no) AS r FROM semantic_challenge_v2_chunks WHERE id IS NOT NULL) WHERE r = 1), t AS (SELECT id, {_G2('k')} AS h FROM t0), a0 AS MATERIALIZED (SELECT row_no, {_STRONG('query')} AS k FROM semantic_challenge_v2_cases WHERE query IS NOT NULL), a AS (SELECT row_no, {_G2('k')} AS g FROM a0),
 s AS (SELECT row_no AS q, id, label, round(len(list_intersect(g, h)) / greatest(len(g), 1), 6) AS score FROM p JOIN t USING (id) JOIN a USING (row_no)), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s)
 SELECT q, count(*) AS pool, CAST(sum(label) AS BIGINT) AS golds, min(CASE WHEN label = 1 THEN rank END) AS first_gold FROM r GROUP BY 1""",
     "x14_distances": f"WITH {P._SIM}, n AS (SELECT q, min(round(1 - cosine, 6)) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM sims) WHERE rank <= 10 AND q <> doc GROUP BY 1) SELECT label, count(*) AS n, round(quantile_cont(distance, 0.5), 6) AS p50, round(quantile_cont(distance, 0.9), 6) AS p90 FROM n JOIN embeddings ON vec_id = q GROUP BY 1",

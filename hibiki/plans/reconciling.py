@@ -165,7 +165,7 @@ _DIFF = f"""WITH gone AS (SELECT target_key, max(deleted_at) AS deleted_at FROM
 a AS (SELECT source_doc, sha256(concat_ws('|', doc_version, size_bytes)) AS h FROM {_LAST("WHERE updated_at < TIMESTAMP '2026-04-01'")}),
 b AS (SELECT source_doc, sha256(concat_ws('|', doc_version, size_bytes)) AS h FROM {_LAST("")} LEFT JOIN gone ON source_doc = target_key WHERE deleted_at IS NULL OR deleted_at < updated_at),
 ch AS (SELECT coalesce(a.source_doc, b.source_doc) AS source_doc, CASE WHEN a.source_doc IS NULL THEN 'added' WHEN b.source_doc IS NULL THEN 'deleted' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'same' ELSE 'modified' END AS change FROM a FULL JOIN b USING (source_doc))"""
-_GRAMS = lambda c: f"list_distinct(list_transform(range(1, length({_STRONG(c)})), lambda i: substr({_STRONG(c)}, i, 2)))"
+_GRAMS = lambda c: f"list_distinct(list_transform(range(1, length({c})), lambda i: substr({c}, i, 2)))"
 _LINES = "list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0)"
 _MERGED = lambda t: f"SELECT '{t}' AS src_table, id, row_no FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, row_no) AS r FROM {t}) LEFT JOIN (SELECT target_key, max(deleted_at) AS deleted_at FROM index_tombstones WHERE target_table = '{t}' GROUP BY 1) ON id = target_key WHERE r = 1 AND (deleted_at IS NULL OR deleted_at < updated_at)"
 SQL = {
@@ -177,7 +177,8 @@ b AS (SELECT k, arg_min(row_no, (how, row_no)) AS row_no, min(how) AS how FROM k
     "j8_alignment": "WITH a AS (SELECT DISTINCT source_doc FROM semantic_challenge_v2_chunks WHERE source_doc IS NOT NULL), b AS (SELECT DISTINCT source_doc FROM source_manifest WHERE source_doc IS NOT NULL), j AS (SELECT count(*) FILTER (a.source_doc IS NOT NULL AND b.source_doc IS NOT NULL) AS \"both\", count(*) FILTER (b.source_doc IS NULL) AS only_a, count(*) FILTER (a.source_doc IS NULL) AS only_b FROM a FULL JOIN b ON a.source_doc = b.source_doc) SELECT *, round(\"both\" / (\"both\" + only_a + only_b), 6) AS jaccard FROM j",
     "j9_consistency": "SELECT source_doc, count(*) AS chunks, count(*) FILTER (source_doc NOT IN (SELECT source_doc FROM source_manifest WHERE source_doc IS NOT NULL) OR source_doc IS NULL) AS unknown, count(*) FILTER (coalesce(searchable, 1) = 0) AS hidden FROM semantic_challenge_v2_chunks GROUP BY 1 HAVING unknown > 0 OR hidden > 0",
     "j11_freshness": f"SELECT CASE WHEN n <= 0 THEN 'same day' WHEN n <= 7 THEN 'week' ELSE 'stale' END AS kind, count(*) AS n, CAST(max(n) AS BIGINT) AS worst_days FROM (SELECT datediff('day', updated_at, ingested_at) AS n FROM {_LAST('')}) x GROUP BY 1",
-    "j13_nearest_questions": f"""WITH a AS (SELECT q, len(g) AS na, unnest(g) AS g FROM (SELECT row_no AS q, {_GRAMS('query')} AS g FROM semantic_challenge_v2_cases WHERE row_no % 20 = 0)), b AS (SELECT key, len(h) AS nb, unnest(h) AS g FROM (SELECT row_no AS key, {_GRAMS('question')} AS h FROM approved_qa_alias_fixture)),
+    "j13_nearest_questions": f"""WITH ka AS MATERIALIZED (SELECT row_no AS q, {_STRONG('query')} AS k FROM semantic_challenge_v2_cases WHERE row_no % 20 = 0), kb AS MATERIALIZED (SELECT row_no AS key, {_STRONG('question')} AS k FROM approved_qa_alias_fixture),
+a AS (SELECT q, len(g) AS na, unnest(g) AS g FROM (SELECT q, {_GRAMS('k')} AS g FROM ka)), b AS (SELECT key, len(h) AS nb, unnest(h) AS g FROM (SELECT key, {_GRAMS('k')} AS h FROM kb)),
 p AS (SELECT q, key, round(count(*) / (na + nb - count(*)), 6) AS jaccard FROM a JOIN b USING (g) GROUP BY q, key, na, nb) SELECT q, key, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY jaccard DESC, key) AS r FROM p WHERE jaccard >= 0.5) WHERE r = 1""",
     "j15_typo_pairs": "WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM documents), n AS (SELECT word, count(*) AS n FROM w GROUP BY 1) SELECT a.word, b.word AS suggestion FROM n a, n b WHERE a.n = 1 AND b.n >= 5 AND levenshtein(a.word, b.word) = 1",
     "c13_repeated_lines": f"""WITH l AS (SELECT doc_id, source_doc, {_LINES} AS l FROM documents), e AS (SELECT DISTINCT doc_id, source_doc, regexp_replace(trim(x), '[0-9]', '#', 'g') AS line FROM (SELECT doc_id, source_doc, unnest(list_concat(l[1:2], l[greatest(len(l) - 1, 1):])) AS x FROM l)),

@@ -251,8 +251,8 @@ QUERIES = {f.__name__: f for f in (r1_bm25_topk, r2_dense_topk, r3_keyword_rank,
 
 
 def _lanes_sql(query: str = "normalized_question", name: str = "lanes") -> str:
-    return f"""docs_{name} AS (SELECT doc, {TOKENS} AS t FROM (SELECT row_no AS doc, {INDEX('text')} AS s FROM manufacturing_chunks)),
-qs_{name} AS (SELECT q, {TOKENS} AS t FROM (SELECT row_no AS q, {INDEX(query)} AS s FROM manufacturing_chunks WHERE row_no % 20 = 0 AND normalized_question IS NOT NULL)),
+    return f"""ds_{name} AS MATERIALIZED (SELECT row_no AS doc, {INDEX('text')} AS s FROM manufacturing_chunks), docs_{name} AS (SELECT doc, {TOKENS} AS t FROM ds_{name}),
+as_{name} AS MATERIALIZED (SELECT row_no AS q, {INDEX(query)} AS s FROM manufacturing_chunks WHERE row_no % 20 = 0 AND normalized_question IS NOT NULL), qs_{name} AS (SELECT q, {TOKENS} AS t FROM as_{name}),
 post_{name} AS (SELECT doc, len(t) AS n, unnest(t) AS term FROM docs_{name}), df_{name} AS (SELECT term, count(*) AS df FROM post_{name} GROUP BY 1),
 {name} AS (SELECT q, doc, round(sum(ln(1 + ((SELECT count(*) FROM docs_{name}) - df + 0.5) / (df + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * p.n / (SELECT avg(len(t)) FROM docs_{name})))), 6) AS bm25,
   round(count(*) / sqrt(CAST(p.n AS DOUBLE) * a.qn), 6) AS cosine, CAST(sum(CASE WHEN regexp_matches(p.term, '{R.EXACT}') AND length(p.term) >= 4 THEN 1 ELSE 0 END) AS BIGINT) AS exact

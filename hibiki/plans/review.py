@@ -133,8 +133,8 @@ _J6 = f"WITH {_E}, {_CHAT}, {_FB}, last AS (SELECT token, arg_max(kind, (ts, eve
 _F = lambda c: INDEX(c)
 _HIT = lambda ts, f: f"len(list_filter({ts}, lambda x: coalesce(contains({f}, x), false)))"
 _R14 = f"""{P._L}, t10 AS (SELECT * FROM (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY bm25 DESC, doc) AS rank FROM lanes) WHERE rank <= 10),
-f AS (SELECT row_no AS doc, {_F('text')} AS text, {_F('title')} AS title_f, {_F("array_to_string(section_path, ' ')")} AS section_f, {_F('question_text')} AS question_f, chunk_type = 'qa_pair' AS faq FROM manufacturing_chunks),
-a AS (SELECT row_no AS q, {P._KIND.replace('query', 'normalized_question')} AS kind, {_F('normalized_question')} AS f FROM manufacturing_chunks WHERE row_no % 20 = 0 AND normalized_question IS NOT NULL),
+f AS MATERIALIZED (SELECT row_no AS doc, {_F('text')} AS text, {_F('title')} AS title_f, {_F("array_to_string(section_path, ' ')")} AS section_f, {_F('question_text')} AS question_f, chunk_type = 'qa_pair' AS faq FROM manufacturing_chunks),
+a AS MATERIALIZED (SELECT row_no AS q, {P._KIND.replace('query', 'normalized_question')} AS kind, {_F('normalized_question')} AS f FROM manufacturing_chunks WHERE row_no % 20 = 0 AND normalized_question IS NOT NULL),
 t AS (SELECT q, kind, list_distinct(regexp_extract_all(f, '{X.QUOTED}', 1)) AS quoted_t, list_distinct(list_filter(list_transform(regexp_extract_all(f, '{X.CODE}'), lambda x: regexp_replace(x, '{X.CODE_TAIL}', '')), lambda x: length(x) >= 2)) AS alnum_t, list_distinct(regexp_extract_all(f, '{KANA_TERM}')) AS kata_t, list_distinct(regexp_extract_all(f, '{KANJI_TERM}')) AS kanji_t FROM a),
 u AS (SELECT *, list_filter(alnum_t, lambda x: regexp_matches(x, '[0-9]')) AS id_t, list_distinct(list_concat(list_concat(quoted_t, kata_t), list_concat(kanji_t, alnum_t))) AS every, len(list_distinct(list_concat(alnum_t, list_concat(kata_t, kanji_t)))) AS n_terms FROM t),
 h AS (SELECT q, doc, rank, faq, kind, n_terms, {_HIT('quoted_t', 'text')} AS quoted, {_HIT('id_t', 'text')} AS ids, {_HIT('alnum_t', 'text')} AS alnum, {_HIT('kata_t', 'text')} AS katakana, {_HIT('kanji_t', 'text')} AS kanji, {_HIT('every', 'title_f')} AS title, {_HIT('every', 'section_f')} AS section, {_HIT('every', 'question_f')} AS question, {_HIT('id_t', 'question_f')} AS code FROM t10 JOIN f USING (doc) JOIN u USING (q)),
@@ -162,5 +162,5 @@ c AS (SELECT row_no, list_filter(coalesce(required_gold_support_terms, []), lamb
 k AS (SELECT DISTINCT row_no, unnest(ids) AS id FROM c), x AS (SELECT row_no, list(text) FILTER (text IS NOT NULL) AS texts FROM k JOIN t USING (id) GROUP BY 1),
 y AS (SELECT c.row_no, req, forb, coalesce(texts, []) AS texts FROM c LEFT JOIN x USING (row_no))
 SELECT row_no, len(texts) AS texts, len(list_filter(req, lambda r: len(list_filter(texts, lambda s: contains(s, r))) = 0)) = 0 AS all_held, len(list_filter(req, lambda r: len(list_filter(texts, lambda s: contains(s, r))) > 0)) > 0 AS any_held, len(list_filter(forb, lambda r: len(list_filter(texts, lambda s: contains(s, r))) > 0)) > 0 AS forbidden_held FROM y""",
-    "m11_robustness": f"WITH c AS (SELECT {_PICK} AS kind, query, {T15_FORM} AS form FROM semantic_challenge_v2_cases WHERE query IS NOT NULL), a AS (SELECT kind, form, {TOKENS} AS a FROM (SELECT kind, form, {INDEX('query')} AS s FROM c)), b AS (SELECT kind, a, {TOKENS} AS b FROM (SELECT kind, a, {INDEX('form')} AS s FROM a)) SELECT kind, count(*) AS n, round(avg(len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1)), 6) AS \"left\" FROM b GROUP BY 1",
+    "m11_robustness": f"WITH c AS (SELECT {_PICK} AS kind, query, {T15_FORM} AS form FROM semantic_challenge_v2_cases WHERE query IS NOT NULL), xa AS MATERIALIZED (SELECT kind, form, {INDEX('query')} AS s FROM c), a AS (SELECT kind, form, {TOKENS} AS a FROM xa), xb AS MATERIALIZED (SELECT kind, a, {INDEX('form')} AS s FROM a), b AS (SELECT kind, a, {TOKENS} AS b FROM xb) SELECT kind, count(*) AS n, round(avg(len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1)), 6) AS \"left\" FROM b GROUP BY 1",
 }

@@ -16,7 +16,7 @@ INDEX = lambda c: f"lower(trim(regexp_replace(translate({nfkc_sql(c)}, '{_FROM}'
 TOKENS = f"""list_distinct(list_filter(list_concat(list_concat(regexp_extract_all(s, '{X.QUOTED}', 1),
   list_filter(list_transform(regexp_extract_all(s, '{X.CODE}'), lambda t: regexp_replace(t, '{X.CODE_TAIL}', '')), lambda t: length(t) >= 2)),
   list_concat(list_concat(regexp_extract_all(s, '[{X.KATAKANA}]{{2,}}'), regexp_extract_all(s, '[{X.KANJI}]{{2,}}')),
-  list_transform(range(1, length(regexp_replace(s, '{X.COMPACT}', '', 'g'))), lambda i: substr(regexp_replace(s, '{X.COMPACT}', '', 'g'), i, 2)))), lambda t: NOT regexp_matches(t, '^[{X.HIRAGANA}]{{1,3}}$')))"""
+  list_transform([string_split(regexp_replace(s, '{X.COMPACT}', '', 'g'), '')], lambda l: list_transform(range(1, len(l)), lambda i: l[i] || l[i + 1]))[1])), lambda t: NOT regexp_matches(t, '^[{X.HIRAGANA}]{{1,3}}$')))"""
 
 
 def n2_index_form(spark: SparkSession, d: str) -> DataFrame:
@@ -129,8 +129,8 @@ SQL = {
     "n8_evidence_key": f"SELECT row_no, sha256(regexp_replace({INDEX('text')}, '{X.WS}', '', 'g')) AS key_sha FROM semantic_challenge_v2_chunks",
     "n12_pii_mask": f"WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{X.EMAIL}', '[email]', 'g'), '[0-9]', '#', 'g') AS m FROM documents) SELECT doc_id, sha256(m) AS masked_sha, length(m) - length(replace(m, '#', '')) AS n_masked FROM m",
     "f9_garbled": f"SELECT source, CAST(sum(CASE WHEN {_GARBLED} THEN 1 ELSE 0 END) AS BIGINT) AS n_garbled, count(*) AS n_docs FROM documents GROUP BY 1",
-    "t1_tokens": f"WITH x AS (SELECT row_no, {INDEX('text')} AS s FROM semantic_challenge_v2_chunks), t AS (SELECT row_no, {TOKENS} AS t FROM x) SELECT row_no, len(t) AS n_tokens, sha256(array_to_string(list_sort(t), chr(1))) AS tokens_sha FROM t",
-    "t1_document_frequency": f"WITH x AS (SELECT {INDEX('text')} AS s FROM documents), t AS (SELECT unnest({TOKENS}) AS term FROM x) SELECT term, count(*) AS df FROM t GROUP BY 1",
+    "t1_tokens": f"WITH x AS MATERIALIZED (SELECT row_no, {INDEX('text')} AS s FROM semantic_challenge_v2_chunks), t AS (SELECT row_no, {TOKENS} AS t FROM x) SELECT row_no, len(t) AS n_tokens, sha256(array_to_string(list_sort(t), chr(1))) AS tokens_sha FROM t",
+    "t1_document_frequency": f"WITH x AS MATERIALIZED (SELECT {INDEX('text')} AS s FROM documents), t AS (SELECT unnest({TOKENS}) AS term FROM x) SELECT term, count(*) AS df FROM t GROUP BY 1",
     "t2_code_tokens": f"WITH r AS (SELECT row_no, list_filter(list_transform(regexp_extract_all(lower(text), '{X.CODE}'), lambda t: regexp_replace(t, '{X.CODE_TAIL}', '')), lambda t: length(t) >= 2) AS r FROM semantic_challenge_v2_chunks) SELECT row_no, unnest(list_distinct(list_concat(r, list_transform(r, lambda t: regexp_replace(t, '[._:/-]', '', 'g'))))) AS code FROM r",
     "t3_bigrams": f"WITH r AS (SELECT unnest(regexp_extract_all(text, '[{X.KATAKANA}{X.KANJI}]{{2,}}')) AS run FROM semantic_challenge_v2_chunks), g AS (SELECT unnest(list_transform(range(1, length(run)), lambda i: substr(run, i, 2))) AS g FROM r) SELECT '2g:' || g AS term, count(*) AS n FROM g GROUP BY 1",
     "t13_token_estimate": f"SELECT source, CAST(sum({_EST}) AS BIGINT) AS tokens, max({_EST}) AS most FROM documents GROUP BY 1",
