@@ -86,11 +86,18 @@ def heuristic_tokens(c: Column) -> Column:
     return let(index_form(c), _tokens_of)
 
 
+def _content_bigrams(c: Column) -> Column:
+    """char_bigrams without those of hiragana only, told by comparison: a pattern per bigram would be the greater part of the work."""
+    kana = lambda x: (x >= "\u3041") & (x <= "\u3093")
+    pair = lambda x, y: F.when(kana(x) & kana(y), F.lit(None)).otherwise(F.concat(x, y))
+    return let(F.split(c, ""), lambda a: F.array_compact(F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), pair)))
+
+
 def _tokens_of(s: Column) -> Column:
     codes = F.filter(F.transform(F.regexp_extract_all(s, F.lit(CODE), F.lit(0)), lambda t: F.regexp_replace(t, CODE_TAIL, "")), lambda t: F.length(t) >= 2)
     runs = F.concat(F.regexp_extract_all(s, F.lit(rf"[{KATAKANA}]{{2,}}"), F.lit(0)), F.regexp_extract_all(s, F.lit(rf"[{KANJI}]{{2,}}"), F.lit(0)))
-    grams = let(F.regexp_replace(s, COMPACT, ""), char_bigrams)
-    return F.array_distinct(F.filter(F.concat(quoted_terms(s), codes, runs, grams), lambda t: ~t.rlike(rf"^[{HIRAGANA}]{{1,3}}$")))
+    words = F.concat(F.filter(quoted_terms(s), lambda t: ~t.rlike(rf"^[{HIRAGANA}]{{1,3}}$")), codes, runs)
+    return F.array_distinct(F.concat(words, _content_bigrams(F.regexp_replace(s, COMPACT, ""))))
 
 
 def mask_pii(c: Column) -> Column:

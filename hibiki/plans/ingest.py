@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import ingest as G
 from ..operators import reconcile as C
 from ..sources import store
-from ..sources.tables import materialize, shared_dir, table
+from ..sources.tables import materialize, shared_dir, spread, table
 from .reconciling import SQL as _RECONCILING
 from .text import INDEX
 
@@ -146,7 +146,7 @@ def n14_neutral(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t6_content_terms(spark: SparkSession, d: str) -> DataFrame:
-    terms = table(spark, d, "semantic_challenge_v2_chunks").select(F.explode(X.content_terms(F.col("text"))).alias("term"))
+    terms = spread(table(spark, d, "semantic_challenge_v2_chunks").select("text")).select(F.explode(X.content_terms(F.col("text"))).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 

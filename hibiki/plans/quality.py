@@ -11,7 +11,7 @@ from ..operators import retrieval as R
 from ..operators import stats as S
 from ..sources.tables import table
 from . import retrieval as P
-from .stats import _weeks
+from .stats import _weeks, upper_sql
 from .text import INDEX
 
 _WORDS = {"procedure": ["手順", "やり方", "手続き"], "permission": ["許可", "allowed", "批准"], "stock": ["在庫", "spares"], "order": ["どちらを先", "先"]}
@@ -164,6 +164,7 @@ def _drift_sql() -> str:
 
 SQL = {
     "st14_drift": _drift_sql(),
+    "a12_feedback_by_tenant": "SELECT tenant, n, k AS bad, upper FROM (" + upper_sql("SELECT user_id % 5 AS tenant, count(*) FILTER (event_type = 'error') AS k, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events WHERE event_type IN ('error', 'purchase')) WHERE r = 1 GROUP BY 1", "tenant") + ")",
     "r2_by_label": f"WITH {P._SIM}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM sims) WHERE rank <= 10 AND q <> doc) SELECT a.label AS ql, count(*) AS n, count(*) FILTER (a.label = b.label) AS same FROM t JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = doc GROUP BY 1",
     "r12_keyword_score": f"{_KW} SELECT q, doc, rank, score FROM kw",
     "r13_keyword_boost": f"{_KW}, m AS (SELECT *, least(0.05 * score, 0.05) AS b FROM kw) SELECT q, doc, rank, row_number() OVER (PARTITION BY q ORDER BY greatest(rank - CASE WHEN b > 0 THEN 1 ELSE 0 END, 1), b DESC, rank) AS new_rank FROM m",

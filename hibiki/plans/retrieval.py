@@ -325,3 +325,4 @@ SELECT q, row_no, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER B
     "m6_candidate_miss": f"{_ME} SELECT round(1 - avg(hit), 6) AS miss_rate FROM met_a",
     "j12_paired_changes": f"{_ME} SELECT CASE WHEN a.q IS NULL THEN 'only_b' WHEN b.q IS NULL THEN 'only_a' WHEN b.mrr > a.mrr THEN 'improved' WHEN b.mrr < a.mrr THEN 'worsened' ELSE 'unchanged' END AS state, count(*) AS n FROM met_a a FULL JOIN met_b b ON a.q = b.q GROUP BY 1",
 }
+SQL["m7_binary_recall"] = f"SELECT round(avg(CASE WHEN b.q IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall FROM ({SQL['r2_dense_topk']}) a LEFT JOIN ({SQL['r31_binary_topk']}) b ON a.q = b.q AND a.doc = b.doc"

@@ -136,7 +136,18 @@ _SC = "s AS (SELECT l_discount * 9 AS score, CAST(round(l_tax * 100) AS INTEGER)
 _HALVES = "h AS (SELECT user_id, round(avg(CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END END) - avg(CASE WHEN ts < TIMESTAMP '2024-01-16' THEN CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END END), 6)::DOUBLE AS x FROM events GROUP BY 1 HAVING x IS NOT NULL)"
 _U = lambda seed: f"CAST(CAST('0x' || substr(md5('{seed}:' || (rep // 4) || ':' || user_id), CAST(8 * (rep % 4) + 1 AS INTEGER), 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
 _Z, _ZP = S.normal_quantile(0.975), S.normal_quantile(0.975) + S.normal_quantile(0.8)
+
+
+def upper_sql(rows: str, keys: str) -> str:
+    """The exact upper bound of k of n by bisection, sixty steps of a recursive query over *rows* (keys, k, n)."""
+    tail = "list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p))))"
+    return f"""WITH RECURSIVE r AS ({rows}), b AS (SELECT *, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM r UNION ALL
+SELECT {keys}, k, n, CASE WHEN tail > 0.05 THEN p ELSE lo END, CASE WHEN tail > 0.05 THEN hi ELSE p END, step + 1 FROM (SELECT *, {tail} AS tail FROM (SELECT *, (lo + hi) / 2 AS p FROM b WHERE step < 60)))
+SELECT {keys}, k, n, CASE WHEN n = 0 OR k >= n THEN 1.0 ELSE round((lo + hi) / 2, 6) END::DOUBLE AS upper FROM b WHERE step = 60"""
+
+
 SQL = {
+    "st11_upper_bound": upper_sql("SELECT user_id, count(*) FILTER (event_type = 'error') AS k, count(*) AS n FROM events GROUP BY 1", "user_id"),
     "st1_percentiles": "SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.01), 4) AS p01, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY 1",
     "st4_sign_flip": f"WITH {_HALVES}, r AS (SELECT *, unnest(range(400)) AS rep FROM h), s AS (SELECT rep, abs(sum(CASE WHEN {_U('s')} < 0.5 THEN x ELSE -x END)) AS s FROM r GROUP BY 1), o AS (SELECT abs(sum(x)) AS o, avg(x) AS m FROM h) SELECT round(m, 6) AS mean, round(((SELECT count(*) FROM s, o WHERE s >= o - 1e-9) + 1) / 401.0, 6)::DOUBLE AS p FROM o",
     "st6_non_inferior": f"WITH {_HALVES}, r AS (SELECT *, unnest(range(200)) AS rep FROM h), u AS (SELECT *, {_U('b')} AS u FROM r), s AS (SELECT rep, sum(-x * ({_DRAW})) AS v, sum({_DRAW}) AS w FROM u GROUP BY 1), o AS (SELECT (SELECT round(avg(-x), 6) FROM h) AS estimate, round(quantile_cont(v / w, 0.025), 6) AS low, round(quantile_cont(v / w, 0.975), 6) AS high FROM s) SELECT *, low > -0.05 AS non_inferior FROM o",

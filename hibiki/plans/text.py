@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .folding import nfkc_sql
 
 DOCS, CHUNKS, CASES, ANSWERS = "documents", "semantic_challenge_v2_chunks", "semantic_challenge_v2_cases", "approved_qa_alias_fixture"
@@ -20,7 +20,8 @@ TOKENS = f"""list_distinct(list_filter(list_concat(list_concat(regexp_extract_al
 
 
 def n2_index_form(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, DOCS).select("doc_id", F.sha2(X.index_form(F.col("text")), 256).alias("form_sha"), F.length(X.index_form(F.col("text"))).cast("long").alias("n"))
+    rows = spread(table(spark, d, DOCS).select("doc_id", "text")).select("doc_id", X.index_form(F.col("text")).alias("form"))
+    return rows.select("doc_id", F.sha2("form", 256).alias("form_sha"), F.length("form").cast("long").alias("n"))
 
 
 def n3_match_form(spark: SparkSession, d: str) -> DataFrame:
@@ -47,12 +48,12 @@ def f9_garbled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t1_tokens(spark: SparkSession, d: str) -> DataFrame:
-    tokens = table(spark, d, CHUNKS).select("row_no", X.heuristic_tokens(F.col("text")).alias("t"))
+    tokens = spread(table(spark, d, CHUNKS).select("row_no", "text")).select("row_no", X.heuristic_tokens(F.col("text")).alias("t"))
     return tokens.select("row_no", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.array_sort("t"), "\x01"), 256).alias("tokens_sha"))
 
 
 def t1_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    tokens = table(spark, d, DOCS).select(F.explode(X.heuristic_tokens(F.col("text"))).alias("term"))
+    tokens = spread(table(spark, d, DOCS).select("text")).select(F.explode(X.heuristic_tokens(F.col("text"))).alias("term"))
     return tokens.groupBy("term").agg(F.count("*").alias("df"))
 
 
