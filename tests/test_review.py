@@ -197,6 +197,35 @@ def test_nearest_by_prefix_filter_equals_all_pairs(spark):
         assert got == want
 
 
+def _shuffled(spark) -> int:
+    """Records that the stages of this session have written to shuffles so far."""
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def _alike(rng, n: int) -> list[str]:
+    """Texts of one template, as questions are: all share most bigrams."""
+    return [f"試作ラインで停止したあとに動かす{rng.choice('ABC')}{rng.randint(0, 999)}号機を止めずに{rng.choice(['清掃', '点検', '記録'])}できる範囲は" for _ in range(n)]
+
+
+def _jaccard(s: str, t: str) -> float:
+    a, b = ({x[i : i + 2] for i in range(len(x) - 1)} for x in (s.lower(), t.lower()))
+    return round(len(a & b) / len(a | b), 6)
+
+
+def test_nearest_of_texts_that_are_all_alike_moves_no_pairs(spark):
+    rng = random.Random(3)
+    asked, known = list(enumerate(_alike(rng, 60))), list(enumerate(_alike(rng, 1500)))
+    before = _shuffled(spark)
+    got = {r["q"]: (r["key"], r["jaccard"]) for r in RC.nearest_by_bigrams(spark.createDataFrame(asked, "q long, t string"), spark.createDataFrame(known, "key long, t string"), "q", "key", "t", 0.5).collect()}
+    assert _shuffled(spark) - before < 10_000  # of 90,000 pairs
+    best = {q: min((-_jaccard(s, t), k) for k, t in known) for q, s in asked}
+    assert got == {q: (k, -x) for q, (x, k) in best.items()}
+
+
 def test_orphans_of_a_hot_key(spark, monkeypatch):
     import datetime as dt
     monkeypatch.setattr(O, "salted_join", partial(O.salted_join, hot_rows=5))
