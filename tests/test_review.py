@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 from functools import partial
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from hibiki.functions import japanese as J
 from hibiki.functions import text as X
+from hibiki.operators import bigrams as B
 from hibiki.operators import ingest as G
 from hibiki.operators import logs as L
 from hibiki.operators import metrics as M
@@ -226,6 +228,24 @@ def test_nearest_of_texts_that_are_all_alike_moves_no_pairs(spark):
     assert got == {q: (k, -x) for q, (x, k) in best.items()}
 
 
+def test_most_alike_with_marks_and_flags_equals_all_pairs(spark):
+    rng = random.Random(4)
+    asked, known = _alike(rng, 60) + ["", "号"], _alike(rng, 1500)
+    known = [t + rng.choice(["", "", "ない"]) for t in known[:-1]] + [None] + known[:20]
+    numbers = lambda c: F.regexp_extract_all(F.col(c), F.lit("[0-9]+"), F.lit(0))
+    before = _shuffled(spark)
+    a, b = spark.createDataFrame(list(enumerate(asked)), "q long, t string"), spark.createDataFrame(list(enumerate(known)), "key long, t string")
+    for block_chars in (10_000_000, 500):
+        got = sorted((r["q"], r["rank"], r["key"], r["score"]) for r in B.most_alike(a, b, "q", "key", "t", 0.4, 5, numbers, lambda c: F.col(c).contains("ない"), 0.08, 0.04, block_chars).collect())
+        want = []
+        for q, s in enumerate(asked):
+            rows = [(_jaccard(s, t), t, k) for k, t in enumerate(known) if t and len(s) > 1]
+            scored = sorted((-round(x + 0.08 * bool(set(re.findall("[0-9]+", s)) & set(re.findall("[0-9]+", t))) - 0.04 * (("ない" in s) != ("ない" in t)), 6), k) for x, t, k in rows if x >= 0.4)
+            want += [(q, i, k, -x) for i, (x, k) in enumerate(scored[:5], 1)]
+        assert got == want
+    assert _shuffled(spark) - before < 60_000  # of 90,000 pairs, twice
+
+
 def test_orphans_of_a_hot_key(spark, monkeypatch):
     import datetime as dt
     monkeypatch.setattr(O, "salted_join", partial(O.salted_join, hot_rows=5))
